@@ -34,3 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, kept in the shared folder so that they outlive any executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """cut(), after which the shuffle files of what led to df are given back at once."""
+    import gc
+
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
+#: Order of a null id: after every other.
+LAST = 9223372036854775807
+
+
+def ordered_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(LAST))

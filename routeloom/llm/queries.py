@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, cnn, quality_rules, toxicity
+from . import bpe, cnn, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_quality_cnn": cnn.query,
     "op8_toxicity": toxicity.query,
     "op10_bpe": bpe.query,
 }
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLE = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+}

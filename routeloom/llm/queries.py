@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, cnn, quality_rules, substring_dedup, toxicity
+from . import bpe, cnn, decontaminate, html_extract, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_html_extract": html_extract.query,
     "op2_quality_rules": quality_rules.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_quality_cnn": cnn.query,
     "op8_toxicity": toxicity.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_bpe": bpe.query,
 }
 ORACLE = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, cnn, decontaminate, html_extract, jaccard, quality_rules, substring_dedup, toxicity
+from . import bpe, cnn, decontaminate, html_extract, jaccard, lm, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_quality_rules": quality_rules.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_quality_cnn": cnn.query,
+    "op6_lm_score": lm.query,
     "op7_jaccard_join": jaccard.query,
     "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLE = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
+    "op6_lm_score": lm.ORACLE,
     "op7_jaccard_join": jaccard.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

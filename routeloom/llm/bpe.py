@@ -15,8 +15,10 @@ text are neither read nor returned; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,10 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes from which a piece counts as long, characters of a tree's leaf, and first half-width of a window.
 LONG, LEAF, WINDOW = 2048, 1024, 32
 #: Pieces that a worker remembers; rows looked at together.
-REMEMBERED, SLICE = 300_000, 512
+REMEMBERED, SLICE = 600_000, 512
+
+#: Letters whose case and form change one by one, then marks without an apostrophe: at most one word for the pre-tokenizer from either.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)?([!-&(-/:-@\\[-`{-~]+)?")
 
 
 def load(path: str | None = None):
@@ -119,41 +124,74 @@ def encode_tree(tok, text: str, leaf: int = LEAF) -> list[int]:
 
 
 class Coder:
-    """Encodes and decodes whole texts; remembers a bounded number of pieces."""
+    """Encodes and decodes whole texts; remembers a bounded number of pieces, in two generations."""
 
     def __init__(self, path: str | None = None, long: int = LONG, remembered: int = REMEMBERED) -> None:
         self.tok, self.long, self.remembered = load(path), long, remembered
         self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.shown = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
+        self.ends = np.array([x.endswith(b"</w>") for x in self.shown])
 
     def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.ids) + len(pieces) > self.remembered:
-            self.ids, self.shown = {}, {}
-        new = list(pieces - self.ids.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for piece, x in zip(some, self.tok.encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
-                self._keep(piece, x.ids, x.tokens)
-
-    def _keep(self, piece: bytes, ids: list[int], tokens: list[str]) -> None:
-        self.ids[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
-        self.shown[piece] = " ".join(tokens).encode()
-
-    def _long(self, piece: bytes) -> tuple[bytes, bytes]:
-        ids = encode_tree(self.tok, piece.decode("utf-8", "replace"))
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.tok.decode(ids, skip_special_tokens=False).encode()
+        if len(self.ids) + len(pieces) > self.remembered:  # pieces that are met again move on to the new generation
+            self.old, self.ids = self.ids, {}
+        new = []
+        for p in pieces - self.ids.keys():
+            found = self.old.get(p)
+            if found is None:
+                new.append(p)
+            else:
+                self.ids[p] = found
+        plain, other = [], []
+        for p in new:
+            m = _PLAIN.fullmatch(p.decode("utf-8", "replace"))
+            if m:
+                plain.append((p, m[0], bool(m[1]) + bool(m[2])))
+            else:
+                other.append(p)
+        for i in range(0, len(plain), 2000):
+            other += self._together(plain[i : i + 2000])
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
+            for p, x in zip(some, self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                self.ids[p] = np.array(x.ids, "<u4").tobytes()
+
+    def _together(self, some: list[tuple[bytes, str, int]]) -> list[bytes]:
+        """Learn pieces from one text that holds them all, told apart by the tokens that end a word; returns those still to learn."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(t for _, t, _ in some)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        upto = np.cumsum([n for _, _, n in some])
+        if len(last) != upto[-1]:
+            return [p for p, _, _ in some]
+        edge = [0, *(4 * (last[upto - 1] + 1)).tolist()]
+        raw = ids.tobytes()
+        for (p, _, _), x, y in zip(some, edge, edge[1:]):
+            self.ids[p] = raw[x:y]
+        return []
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
         pieces = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self._learn({p for ps in pieces for p in ps if len(p) <= self.long})
+        met = set().union(*pieces)
+        long = {p for p in met if len(p) > self.long}
+        self._learn(met - long)
+        trees = {p: np.array(encode_tree(self.tok, p.decode("utf-8", "replace")), "<u4").tobytes() for p in long}
+        known = (lambda p: trees.get(p) or self.ids[p]) if trees else self.ids.__getitem__
         for ps in pieces:
-            long = {p: self._long(p) for p in ps if len(p) > self.long}
-            if long:
-                both = [long.get(p) or (self.ids[p], self.shown[p]) for p in ps]
-                yield b"".join(x for x, _ in both), b" ".join(y for _, y in both if y)
-            else:
-                yield b"".join(map(self.ids.__getitem__, ps)), b" ".join(filter(None, map(self.shown.__getitem__, ps)))
+            ids = b"".join(map(known, ps))
+            yield ids, b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_coders: dict[str | None, Coder] = {}
+
+
+def _coder(path: str | None) -> Coder:
+    """One coder per worker process, which later tasks find warm."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,9 +199,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import numpy as np
-
-        coder = Coder(path)
+        coder = _coder(path)
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
@@ -178,7 +214,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder, sha = Coder(path), lambda x: hashlib.sha256(x).hexdigest()
+        coder, sha = _coder(path), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)

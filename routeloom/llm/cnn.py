@@ -211,6 +211,18 @@ def score(docs: DataFrame, model: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accept(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(model.score(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = bucket(F.col("doc_id"), 5) == 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, cnn, decontaminate, html_extract, jaccard, lm, quality_rules, substring_dedup, toxicity
+from . import bpe, cnn, decontaminate, html_extract, jaccard, line_dedup, lm, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_quality_cnn": cnn.query,
     "op6_lm_score": lm.query,

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .sample import bucket, labelled
 
 SIZES, BITS, FEATURES = (4, 5, 6), 20, 16384
@@ -51,27 +51,41 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(found)
 
 
+def choose(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with the strongest log-count ratios, and these ratios, from each bucket's documents of either kind; one is added to each count."""
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
+    strength = np.abs(ratio) * np.sqrt(toxic + clean)
+    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    return chosen, ratio[chosen]
+
+
+def members(chosen: np.ndarray) -> np.ndarray:
+    out = np.zeros(BUCKETS, bool)
+    out[chosen] = True
+    return out
+
+
 class Linear:
     def __init__(self) -> None:
         self.weight, self.bias, self.prior, self.trained = np.zeros(BUCKETS, np.float32), 0.0, 0.5, False
 
-    def fit(self, features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> "Linear":
+    def fit(self, features: list[np.ndarray], labels: np.ndarray) -> "Linear":
         """features: the distinct buckets of each document."""
         y = np.asarray(labels, np.float64)
+        kinds = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+        for f, label in zip(features, y):
+            kinds[int(label)][f] += 1
+        chosen, scale = choose(kinds[1], kinds[0], y.sum(), (1 - y).sum())
+        known = members(chosen)
+        return self.learn([f[known[f]] for f in features], y, chosen, scale)
+
+    def learn(self, features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> "Linear":
+        """features: those of the chosen buckets that each document has."""
+        y = np.asarray(labels, np.float64)
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(y) == 0 or y.min() == y.max():
             return self
-        p, q = np.ones(BUCKETS), np.ones(BUCKETS)  # a bucket's documents of each kind, one added to each
-        for f, is_toxic in zip(features, y > 0):
-            (p if is_toxic else q)[f] += 1
-        ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
-        strength = np.abs(ratio) * np.sqrt(p + q - 2)
-        chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-        place = np.full(BUCKETS, -1)
-        place[chosen] = np.arange(len(chosen))
-        kept = [c[c >= 0] for c in (place[f] for f in features)]
-        doc, col = np.repeat(np.arange(len(y)), [len(c) for c in kept]), np.concatenate(kept)
-        scale = ratio[chosen]
+        doc, col = np.repeat(np.arange(len(y)), [len(f) for f in features]), np.searchsorted(chosen, np.concatenate(features))
         value = scale[col]
         # Adam on the mean logistic loss with a ridge penalty
         w, b = np.zeros(len(chosen)), np.array(np.log(self.prior / (1 - self.prior)))
@@ -84,8 +98,7 @@ class Linear:
             move = 0.02 * (1 - 0.9 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
             w, b = w - move[:-1], b - move[-1]
         self.weight[chosen] = w * scale
-        self.known = np.zeros(BUCKETS, bool)
-        self.known[chosen] = True
+        self.known = members(chosen)
         self.bias, self.trained = float(b), True
         return self
 
@@ -114,18 +127,38 @@ class Linear:
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", rows: int = LEARN_ROWS, size: int = LEARN_CHARS) -> Linear:
     """Learn from at most ``rows`` labelled documents, of each at most ``size`` characters at a place given by its id."""
 
-    def distinct(batches):
+    def spans(batches):
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 start = hash(doc_id) * 7919 % max(1, len(text) - size + 1)
-                out.append(np.unique(grams([text[start : start + size]])[1]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "found"])
+                out.append(text[start : start + size])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], ["doc_id", "text", "label"])
+
+    def count(batches):
+        kinds, n = np.zeros((2, BUCKETS), np.int32), [0, 0]
+        for b in batches:
+            for text, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                kinds[label][np.unique(grams([text])[1])] += 1
+                n[label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([kinds.tobytes()], pa.binary())], ["clean", "toxic", "kinds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_ = labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(distinct, f"doc_id {kind}, label int, found binary").collect()
-    rows_.sort(key=lambda r: r.doc_id)
-    return Linear().fit([np.frombuffer(r.found, np.int32) for r in rows_], np.array([r.label for r in rows_]))
+    sample = stage(labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(spans, f"doc_id {kind}, text string, label int").repartition(4, "doc_id"))
+    kinds, n = np.zeros((2, BUCKETS)), np.zeros(2)
+    for r in sample.mapInArrow(count, "clean long, toxic long, kinds binary").toLocalIterator():  # four rows of two counters per bucket
+        kinds += np.frombuffer(bytes(r.kinds), np.int32).reshape(2, BUCKETS)
+        n += r.clean, r.toxic
+    chosen, scale = choose(kinds[1], kinds[0], n[1], n[0])
+
+    def own(batches):
+        known = members(chosen)
+        for b in batches:
+            out = [(f := np.unique(grams([t])[1]))[known[f]].astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "found"])
+
+    found = sample.mapInArrow(own, f"doc_id {kind}, label int, found binary").toArrow().sort_by("doc_id")
+    return Linear().learn([np.frombuffer(x.as_py(), np.int32) for x in found.column("found")], found.column("label").to_numpy(), chosen, scale)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:

@@ -44,6 +44,13 @@ def test_forgetting_does_not_matter(coder):
         assert list(small([text])) == [library(coder.tok, text)]
 
 
+def test_pieces_learnt_together(coder):
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("abTHÉß") for _ in range(rnd.randrange(5))) + "".join(rnd.choice(".,%|<>!") for _ in range(rnd.randrange(3))) for _ in range(3000))
+    fresh = bpe.Coder()
+    assert list(fresh([text, text[:50]])) == [library(coder.tok, text), library(coder.tok, text[:50])]
+
+
 def test_query_and_edge_rows(spark, coder):
     df = spark.createDataFrame([(1, "Das ist", 1), (None, None, 2), (1, "Das ist", 3), (2, "", 4)], "doc_id long, text string, ids int")
     rows = bpe.digest(df).collect()

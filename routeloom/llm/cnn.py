@@ -32,6 +32,8 @@ BLOCK = 1 << 20
 #: Bytes whose activations are held at a time, a multiple of STEP.
 PIECE = 1 << 14
 THRESHOLD = 0.3
+#: Steps that a small sample is repeated for.
+LEAST_STEPS = 300
 
 
 def _pad(raw: bytes) -> bytes:
@@ -126,6 +128,7 @@ class Network:
         if len(y) == 0 or y.min() == y.max():
             self.prior = float(y.mean()) if len(y) else 0.5
             return self
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
         rng, padded = np.random.default_rng(seed), [_pad(t) for t in texts]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}

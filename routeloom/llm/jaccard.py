@@ -7,11 +7,12 @@ shingles, chosen by hash, is counted to find these. The classes that remain
 are compared in groups that share a shingle of their prefixes (the n -
 ceil(0.8 n) + 1 shingles that come first in one order for all, rare ones
 before common ones); two alike classes always meet in one. A group is searched
-by rounds: its leader is the index, all members are queries, and a T-occurrence
+by rounds: its leader is the index, its members are queries, and a T-occurrence
 search (DivideSkip: short inverted lists are heap-merged, long ones probed by
 bisection) finds the members with the overlap their sizes require. Members
 known to be connected need no further comparison, so groups of near copies
-fall to a few leaders; the pairs that are still open after ROUNDS are all
+fall to a few leaders. A member is compared with one leader a round; once a
+round finds nothing new, or after ROUNDS, the pairs that are still open are all
 searched. No pair is given up.
 
 Defined results: a null or empty text has no shingles and is linked with
@@ -39,7 +40,9 @@ SHINGLE, PERCENT = 5, 80
 #: Share of all shingles whose occurrences are counted, of 100.
 COUNTED = 30
 #: Counters of the order of shingles; leaders' rounds; queries in a block.
-BUCKETS, ROUNDS, BLOCK = 1 << 20, 3, 1000
+BUCKETS, ROUNDS, BLOCK = 1 << 20, 6, 1000
+#: Shingles per part in which they meet.
+LOAD = 2_000_000
 #: Class ids that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 SLICE = 500
@@ -86,32 +89,62 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "d long, n long, c long, c2 long")
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(t, c): the counted share of each class's shingles, each class once per batch."""
+#: A shingle of several classes in its batch.
+MANY = -(1 << 63)
+
+
+def _alone(docs: DataFrame, parts: int) -> DataFrame:
+    """(c, alone): of each class, how many of the counted share of its shingles no other class has.
+
+    Shingles meet as packed arrays by parts of their hashes, one entry per
+    shingle and batch, so a shingle of very many documents is as many entries
+    as there are batches.
+    """
     top = U(COUNTED * (1 << 64) // 100)
 
     def run(batches):
         vocabulary = Vocabulary()
         for b in batches:
-            seen, ts, cs = set(), [], []
+            seen, ts, cs = set(), [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for _, s in _sets(b, vocabulary):
                 c = _digest(s)[0]
                 if c not in seen:
                     seen.add(c)
-                    ts.append(s[: np.searchsorted(s, top)].view(np.int64))
+                    ts.append(s[: np.searchsorted(s, top)])
                     cs.append(np.full(len(ts[-1]), c, np.int64))
-            if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts)), pa.array(np.concatenate(cs))], ["t", "c"])
+            t, c = np.concatenate(ts), np.concatenate(cs)
+            order = np.argsort(t, kind="stable")
+            t, c = t[order], c[order]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(t)))
+            t, c = t[first], np.where(count > 1, MANY, c[first])
+            part = ((t * U(0x9E3779B97F4A7C15)) >> U(40)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            part, t, c = part[order], t[order], c[order]
+            edge = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            full = [p for p in range(parts) if edge[p] < edge[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in full], pa.binary()) for x in (t, c))], ["part", "t", "c"])
+
+    def meet(key, frame):
+        import pandas as pd
+
+        t = np.concatenate([np.frombuffer(x, U) for x in frame.t])
+        c = np.concatenate([np.frombuffer(x, np.int64) for x in frame.c])
+        order = np.argsort(t, kind="stable")
+        t, c = t[order], c[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+        found, n = np.unique(low[(low == high) & (low != MANY)], return_counts=True)
+        return pd.DataFrame({"c": found, "alone": n})
 
-    return docs.select("d", "text").mapInArrow(run, "t long, c long")
+    return docs.select("d", "text").mapInArrow(run, "part int, t binary, c binary").groupBy("part").applyInPandas(meet, "c long, alone long").groupBy("c").agg(F.sum("alone").alias("alone"))
 
 
-def survivors(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+def survivors(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, parts: int = 8) -> DataFrame:
     """(r, n, c): the classes that may have a partner."""
-    alone = _counted(docs).groupBy("t").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
     # ceil(percent * n / 100) in whole numbers
     need = F.floor((F.col("n") * percent + 99) / 100)
-    return reps.join(alone, "c", "left").where((F.col("n") > 0) & (F.coalesce("alone", F.lit(0)) <= F.col("n") - need)).select("r", "n", "c")
+    return reps.join(_alone(docs, parts), "c", "left").where((F.col("n") > 0) & (F.coalesce("alone", F.lit(0)) <= F.col("n") - need)).select("r", "n", "c")
 
 
 def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -249,12 +282,13 @@ def links(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tupl
     members = stage(classes(own))
     reps = members.groupBy("c", "c2", "n").agg(F.min("d").alias("r"))
     of_class = members.join(reps, ["c", "c2", "n"]).select("d", "n", "r")
-    chosen = stage(survivors(own, reps, percent))
+    size = members.agg(F.sum("n")).first()[0] or 0
+    chosen = stage(survivors(own, reps, percent, max(8, size * COUNTED // 100 // LOAD)))
     sets = stage(_tokens(own, chosen))
     prefix = _prefixes(sets, _order(sets), percent)
     shared = prefix.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t")
     prefix = stage(prefix.join(shared, "t"))
-    found, linked = None, None
+    found, linked, gained = None, None, True
     for i in range(rounds + 1):
         if linked is None:
             open_ = prefix.withColumn("component", F.col("r"))
@@ -262,21 +296,24 @@ def links(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tupl
             at = prefix.join(linked.withColumnRenamed("node", "r"), "r", "left").withColumn("component", F.coalesce("component", F.col("r")))
             groups = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
             open_ = at.join(groups, "t")
-        if i < rounds:
+        alike = (F.col("n") * 100 >= F.col("ln") * percent) & (F.col("ln") * 100 >= F.col("n") * percent) & (F.col("component") != F.col("lc"))
+        last = i == rounds or not gained
+        if not last:
             rank = F.xxhash64(F.col("r"), F.lit(i)) if i else F.col("r")
             leader = open_.groupBy("t").agg(F.min(F.struct(rank.alias("k"), F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))).alias("x")).select("t", "x.*")
-            pairs = open_.join(leader, "t").where(F.col("r") != F.col("leader")).withColumnRenamed("r", "member")
+            pairs = open_.join(leader, "t").where(alike).groupBy(F.col("r").alias("member")).agg(F.min(F.struct("k", "leader")).alias("x")).select("x.leader", "member")
         else:
             other = open_.select("t", F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))
-            pairs = open_.join(other, "t").where("r > leader").withColumnRenamed("r", "member")
-        alike = (F.col("n") * 100 >= F.col("ln") * percent) & (F.col("ln") * 100 >= F.col("n") * percent)
-        pairs = stage(pairs.where(alike & (F.col("component") != F.col("lc"))).select("leader", "member").distinct())
-        if pairs.limit(1).count() == 0:
-            if i == 0 or i >= 1:
-                break
-        new = _search_pairs(sets, pairs, percent)
-        found = stage(new if found is None else found.unionByName(new).distinct())
-        linked = stage(components(found))
+            pairs = open_.join(other, "t").where("r > leader").where(alike).select("leader", F.col("r").alias("member")).distinct()
+        pairs, gained = stage(pairs), False
+        if pairs.limit(1).count():
+            new = stage(_search_pairs(sets, pairs, percent))
+            gained = new.limit(1).count() > 0
+            if gained:
+                found = stage(new if found is None else found.unionByName(new).distinct())
+                linked = stage(components(found))
+        if last:
+            break
     if found is None:
         found = sets.select(F.col("r").alias("a"), F.col("r").alias("b")).limit(0)
         linked = found.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -4,13 +4,13 @@ Rabin-Karp hashes of every window of WINDOW words are rolled over each whole
 text. Most windows are found once in the corpus, and these need not travel: a
 window's smallest hash of GRAM words (its anchor) is the same wherever the
 window occurs, so only windows whose anchor was counted at two places or more
-go on. Of these, Spark counts the 128-bit hashes and finds each one's first
-place; every other place is a removal, and a document's removals merge into
-maximal intervals.
+go on. Their 128-bit hashes are counted, every place but the first is a
+removal, and a document's removals merge into maximal intervals.
 
-Anchors and windows meet as partial counts, and the joins back to the places
-have one row per key on one side, so a passage found in a third of all
-documents makes no large group.
+Anchors and windows are counted in Spark, grouped by parts of their hashes, as
+packed arrays. A batch of documents settles its own repeats and sends one entry
+per key, so a passage found in a third of all documents is as many entries as
+there are batches.
 
 Defined results: a null or empty text has no words; a null doc_id comes after
 all others; rows that share a doc_id count as one document, and the removals
@@ -33,84 +33,140 @@ from .hashing import BASES, U, Vocabulary, left, rolling, sliding
 WINDOW, GRAM = 20, 8
 #: Rows looked at together.
 SLICE = 1000
-#: Places per document number: a text has fewer words.
-PLACES = 1 << 31
+#: Characters of the corpus per part in which anchors or windows meet.
+LOAD = 16_000_000
 
 
-def _slices(batches):
+def _slices(batches, size: int = SLICE):
     for b in batches:
-        for i in range(0, b.num_rows, SLICE):
-            yield b.slice(i, SLICE)
+        for i in range(0, b.num_rows, size):
+            yield b.slice(i, size)
 
 
 def _anchors(h: np.ndarray, size: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every run of ``gram`` words, every window's smallest one, and which windows lie in one text."""
-    rest = left(size)
     g = rolling(h, gram, BASES[0])
     low = sliding(g, window - gram + 1, np.minimum)
-    return g, low, rest[: len(low)] >= window
+    return g, low, left(size)[: len(low)] >= window
 
 
-def anchors(docs: DataFrame, window: int, gram: int, counted: bool) -> DataFrame:
-    """(anchor, n): places of each anchor by batch; or (anchor, d): each document's anchors."""
+def _parts(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h * U(0x9E3779B97F4A7C15)) >> U(40)).astype(np.int64) % parts
+
+
+#: Rows between the steps: part -1 with an id and its numbers (found in the batch itself), or a part with packed columns of one entry per key and batch.
+PACKED = "part int, d long, own binary, h1 binary, h2 binary, ids binary, at binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("d", pa.int64()), *((c, pa.binary()) for c in ("own", "h1", "h2", "ids", "at"))])
+
+
+def _by_row(d: np.ndarray, values: np.ndarray) -> list[dict]:
+    """Values of each id as one row."""
+    order = np.argsort(d, kind="stable")
+    d, values = d[order], values[order]
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+    return [{"part": -1, "d": int(d[x]), "own": values[x:y].tobytes()} for x, y in zip(first, np.append(first[1:], len(d)))]
+
+
+def _by_part(part: np.ndarray, columns: dict[str, np.ndarray]) -> list[dict]:
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return [{"part": int(part[x]), **{c: v[order[x:y]].tobytes() for c, v in columns.items()}} for x, y in zip(first, np.append(first[1:], len(part)))]
+
+
+#: An entry for several places in its batch, of which all are known already.
+MANY = -(1 << 62)
+
+
+def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
+    """(d, own): of each document anchors that are found at two places or more, packed, in one row or several."""
 
     def run(batches):
         vocabulary = Vocabulary()
-        for b in _slices(batches):
+        for b in _slices(batches, 4 * SLICE):
             h, size = vocabulary.words(b.column(1).to_pylist())
             if len(h[0]) < window:
                 continue
             g, low, ok = _anchors(h[0], size, window, gram)
-            if counted:
-                # the places that are the smallest of some window around them
-                reach = window - gram + 1
-                seen = sliding(np.concatenate([np.zeros(reach - 1, U), np.where(ok, low, U(0)), np.zeros(reach - 1, U)]), reach, np.maximum)
-                chosen = g[(seen == g) & (seen > 0)]
-                a, n = np.unique(chosen, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n, pa.int64())], ["a", "n"])
-            else:
-                # one row per run of equal anchors is enough
-                first = ok & np.append(True, (low[1:] != low[:-1]) | ~ok[:-1])
-                doc = np.repeat(np.arange(len(size)), size)[: len(low)][first]
-                yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), b.column(0).take(pa.array(doc))], ["a", "d"])
-
-    return docs.select("d", "text").mapInArrow(run, "a long, n long" if counted else "a long, d long")
-
-
-def windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, d, place) of every window whose anchor is among the document's ``keys``."""
+            # the places that are the smallest of some window around them
+            reach = window - gram + 1
+            edge = np.zeros(reach - 1, U)
+            seen = sliding(np.concatenate([edge, np.where(ok, low, U(0)), edge]), reach, np.maximum)
+            place = np.flatnonzero((seen == g) & (seen > 0))
+            ids = np.asarray(b.column(0))[np.repeat(np.arange(len(size)), size)[place]]
+            order = np.argsort(g[place], kind="stable")
+            a, ids = g[place][order], ids[order]
+            new = np.append(True, a[1:] != a[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(a)))
+            twice = np.repeat(count > 1, count)
+            yield pa.RecordBatch.from_pylist(_by_row(ids[twice], a[twice]) + _by_part(_parts(a[first], parts), {"h1": a[first], "ids": np.where(count > 1, MANY, ids[first])}), _SCHEMA)
+
+    def meet(key, frame):
+        import pandas as pd
+
+        a = np.concatenate([np.frombuffer(x, U) for x in frame.h1])
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in frame.ids])
+        order = np.argsort(a, kind="stable")
+        a, ids = a[order], ids[order]
+        count = np.diff(np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)))
+        hit = (np.repeat(count, count) > 1) & (ids != MANY)
+        return pd.DataFrame(_by_row(ids[hit], a[hit]), columns=["d", "own"])
+
+    rows = docs.select("d", "text").mapInArrow(run, PACKED)
+    return rows.where("part < 0").select("d", "own").unionByName(rows.where("part >= 0").select("part", "h1", "ids").groupBy("part").applyInPandas(meet, "d long, own binary"))
+
+
+def _later_windows(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
+    """(d, own): of each document starts of windows that occur earlier, packed, in one row or several. docs has the anchors to look at as ``keys``."""
 
     def run(batches):
         vocabulary = Vocabulary()
-        for b in _slices(batches):
+        for b in _slices(batches, 4 * SLICE):
             h, size = vocabulary.words(b.column(1).to_pylist())
             if len(h[0]) < window:
                 continue
             _, low, ok = _anchors(h[0], size, window, gram)
-            ends = np.cumsum(size)
-            hit = np.zeros(len(low), bool)
-            offsets, flat = np.asarray(b.column(2).offsets), np.asarray(b.column(2).values).view(U)
-            for k, (end, n) in enumerate(zip(ends, size)):
+            ends, hit = np.cumsum(size), np.zeros(len(low), bool)
+            for k, (end, n, keys) in enumerate(zip(ends.tolist(), size.tolist(), b.column(2).to_pylist())):
                 own = slice(end - n, max(end - n, min(end - window + 1, len(low))))
-                hit[own] = np.isin(low[own], flat[offsets[k] : offsets[k + 1]])
+                hit[own] = np.isin(low[own], np.frombuffer(b"".join(keys), U))
             at = np.flatnonzero(hit & ok)
             doc = np.repeat(np.arange(len(size)), size)[at]
-            two = [rolling(x, window, base)[at].view(np.int64) for x, base in zip(h, BASES)]
-            yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), b.column(0).take(pa.array(doc)), pa.array(at - (ends - size)[doc])], ["h1", "h2", "d", "place"])
-
-    return docs.select("d", "text", "keys").mapInArrow(run, "h1 long, h2 long, d long, place long")
+            h1, h2 = (rolling(x, window, base)[at] for x, base in zip(h, BASES))
+            ids, place = np.asarray(b.column(0))[doc], at - (ends - size)[doc]
+            order = np.lexsort((place, ids, h2, h1))
+            h1, h2, ids, place = h1[order], h2[order], ids[order], place[order]
+            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) if len(h1) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            # equal (id, place) are rows that share an id: one place
+            count = np.diff(np.append(first, len(h1)))
+            later = (ids != np.repeat(ids[first], count)) | (place != np.repeat(place[first], count))
+            yield pa.RecordBatch.from_pylist(_by_row(ids[later], place[later]) + _by_part(_parts(h1[first], parts), {"h1": h1[first], "h2": h2[first], "ids": ids[first], "at": place[first].astype(np.int32)}), _SCHEMA)
+
+    def meet(key, frame):
+        import pandas as pd
+
+        h1, h2, ids, place = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("h1", U), ("h2", U), ("ids", np.int64), ("at", np.int32)))
+        order = np.lexsort((place, ids, h2, h1))
+        h1, h2, ids, place = h1[order], h2[order], ids[order], place[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        count = np.diff(np.append(first, len(h1)))
+        later = (ids != np.repeat(ids[first], count)) | (place != np.repeat(place[first], count))
+        return pd.DataFrame(_by_row(ids[later], place[later]), columns=["d", "own"])
+
+    rows = docs.select("d", "text", "keys").mapInArrow(run, PACKED)
+    return rows.where("part < 0").select("d", "own").unionByName(rows.where("part >= 0").select("part", "h1", "h2", "ids", "at").groupBy("part").applyInPandas(meet, "d long, own binary"))
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """d (the id that orders documents) and the sorted starts of its windows that occur earlier."""
+    """d (the id that orders documents) and, packed as 64-bit integers, the starts of its windows that occur earlier."""
     own = docs.select(ordered_id().alias("d"), "text")
-    shared = anchors(own, window, gram, True).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
-    keys = stage(anchors(own, window, gram, False).join(shared, "a").groupBy("d").agg(F.collect_set("a").alias("keys")))
-    found = windows(own.join(keys, "d"), window, gram)
-    occurrence = (F.col("d").cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("place")).cast("decimal(31,0)")
-    first = found.groupBy("h1", "h2").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(occurrence != F.col("first"))
-    return stage(later.groupBy("d").agg(F.array_sort(F.collect_set("place")).alias("starts")))
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(8, size // LOAD)
+    keys = stage(_shared_anchors(own, window, gram, parts).groupBy("d").agg(F.collect_list("own").alias("keys")))
+    later = _later_windows(own.join(keys, "d"), window, gram, parts)
+    return stage(later.groupBy("d").agg(F.collect_list("own").alias("starts")))
 
 
 def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -131,7 +187,8 @@ def apply(docs: DataFrame, removed: DataFrame, window: int = WINDOW, texts: bool
             out = []
             for doc_id, text, starts in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
                 words = (text or "").encode("utf-8", "replace").split()
-                cover = [(x, min(y, len(words))) for x, y in intervals(np.array(starts or [], np.int64), window) if x < len(words)]
+                at = np.unique(np.frombuffer(b"".join(starts or []), np.int64))
+                cover = [(x, min(y, len(words))) for x, y in intervals(at, window) if x < len(words)]
                 kept, last = [], 0
                 for x, y in cover:
                     kept += words[last:x]

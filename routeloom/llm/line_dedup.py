@@ -83,6 +83,11 @@ def candidates(distinct: DataFrame, distance: int = DISTANCE, min_chars: int = M
     return probe.join(index, "k").where("a <> b").select("a", "b").distinct()
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning, by doubling; of very long ones, a part."""
     steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
@@ -99,10 +104,6 @@ def banded_distance(p: Column, q: Column, distance: int) -> Column:
     width, full = 2 * distance + 1, (1 << (2 * distance + 1)) - 1
     n = F.size(p)
 
-    def let(value: Column, then) -> Column:
-        """``then`` of a value that is worked out once."""
-        return F.get(F.transform(F.array(value), then), 0)
-
     def step(s: Column, i: Column) -> Column:
         vp, vn, d, h = (s[k] for k in ("vp", "vn", "d", "h"))
         down = i < n - distance
@@ -129,17 +130,32 @@ def banded_distance(p: Column, q: Column, distance: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), start, step, lambda s: s["d"])
 
 
+def is_near(a: Column, b: Column, distance: int) -> Column:
+    """Whether lines a (not shorter) and b are within the distance: exactly the banded distance of what their common beginning and end leave.
+
+    All steps are bound by lambdas, since the optimizer would put an alias's
+    expression wherever its name stands, also within the loops.
+    """
+
+    def decide(v: Column) -> Column:
+        n, m = F.length(v["a"]), F.length(v["b"])
+        return (
+            F.when(n <= distance, True)
+            .when(n - m > distance, False)
+            .when(m == 0, n <= distance)
+            .otherwise(let(F.struct(F.split(v["a"], "").alias("a"), F.split(v["b"], "").alias("b")), lambda z: banded_distance(z["a"], z["b"], distance) <= distance))
+        )
+
+    def ends(u: Column) -> Column:
+        tail = common_prefix(u["b"], u["a"])
+        return let(tail, lambda k: let(F.struct(F.substring(u["a"], k + 1, F.length(u["a"])).alias("a"), F.substring(u["b"], k + 1, F.length(u["b"])).alias("b")), decide))
+
+    return let(common_prefix(b, a), lambda k: let(F.struct(F.reverse(F.substring(a, k + 1, F.length(a))).alias("a"), F.reverse(F.substring(b, k + 1, F.length(b))).alias("b")), ends))
+
+
 def within(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Of rows with lines xa (not shorter) and xb, those within the distance."""
-    start = pairs.withColumn("_p", common_prefix(F.col("xb"), F.col("xa")))
-    rest = start.withColumn("_a", F.reverse(F.expr("substring(xa, _p + 1)"))).withColumn("_b", F.reverse(F.expr("substring(xb, _p + 1)")))
-    rest = rest.withColumn("_s", common_prefix(F.col("_b"), F.col("_a")))
-    rest = rest.withColumn("_a", F.expr("substring(_a, _s + 1)")).withColumn("_b", F.expr("substring(_b, _s + 1)"))
-    short = F.greatest(F.length("_a"), F.length("_b")) <= distance
-    rest = rest.withColumn("_near", short | F.when(F.abs(F.length("_a") - F.length("_b")) > distance, False).when(F.length("_b") == 0, F.length("_a") <= distance))
-    split = rest.withColumn("_p1", F.when(F.col("_near").isNull(), F.split("_a", ""))).withColumn("_q1", F.when(F.col("_near").isNull(), F.split("_b", "")))
-    near = F.coalesce(F.col("_near"), banded_distance(F.col("_p1"), F.col("_q1"), distance) <= distance)
-    return split.where(near).drop("_p", "_s", "_a", "_b", "_near", "_p1", "_q1")
+    return pairs.where(is_near(F.col("xa"), F.col("xb"), distance))
 
 
 def near_pairs(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:

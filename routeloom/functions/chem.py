@@ -264,6 +264,12 @@ def components(text: str) -> list[str]:
     return [c for c in (canonicalize(p) for p in text.split(".") if p) if c]
 
 
+def canonical_set(text: str) -> str:
+    """Sorted canonical components, joined; empty if one can't be read."""
+    parts = [canonicalize(p) for p in text.split(".")]
+    return "" if None in parts else ".".join(sorted(parts))
+
+
 def parse_reaction(text: str) -> tuple[list[str], list[str], list[str]] | None:
     parts = text.split(">")
     return tuple(components(p) for p in parts) if len(parts) == 3 else None

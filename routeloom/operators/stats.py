@@ -97,3 +97,9 @@ def hits_at(ranked: DataFrame, by: str, rank: str, hit: Column, ks: list[int]) -
     return first.select("first", k).groupBy("k").agg(F.avg(F.coalesce(F.col("first") <= F.col("k"), F.lit(False)).cast("double")).alias("accuracy"))
 
 
+
+
+def gains_and_losses(before: DataFrame, after: DataFrame, key: str, hit: str) -> DataFrame:
+    """One row: how many keys a filter turned from wrong to right, from right to wrong, and left alone."""
+    d = before.select(key, F.col(hit).alias("x")).join(after.select(key, F.col(hit).alias("y")), key, "left").withColumn("y", F.coalesce("y", F.lit(False)))
+    return d.agg(F.count_if(~F.col("x") & F.col("y")).alias("gained"), F.count_if(F.col("x") & ~F.col("y")).alias("lost"), F.count_if(F.col("x") == F.col("y")).alias("same"))

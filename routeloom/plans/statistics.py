@@ -99,3 +99,21 @@ SELECT grp, s[floor(5 / 100::DOUBLE * (len(s) - 1))::BIGINT + 1] AS value FROM x
 def lower_percentile(spark, sf_dir):
     x = P.rules(spark, sf_dir).select((F.col("product") % 10).alias("grp"), "score")
     return S.lower_percentile(x, "grp", "score", 5.0)
+
+
+@query(_SOFTMAX + """, f AS (SELECT vec_id, bool_or(rank = 1 AND label = gold) AS x, coalesce(arg_min(label = gold, rank) FILTER ((label * 37 + vec_id) % 101 >= 40), false) AS y FROM p WHERE rank <= 10 GROUP BY vec_id)
+SELECT count(*) FILTER (NOT x AND y) AS gained, count(*) FILTER (x AND NOT y) AS lost, count(*) FILTER (x = y) AS same FROM f""")
+def gain_loss(spark, sf_dir):
+    e = P.logits(spark, sf_dir)
+    ranked = ranking.top_classes(e, "vec_id", "embedding", 10).join(e.select("vec_id", F.col("label").alias("gold")), "vec_id")
+    first = lambda d: d.groupBy("vec_id").agg(F.min_by(F.col("label") == F.col("gold"), "rank").alias("hit"))
+    return S.gains_and_losses(first(ranked), first(ranked.where((F.col("label") * 37 + F.col("vec_id")) % 101 >= 40)), "vec_id", "hit")
+
+
+@query(f"""
+WITH {P.RULES_SQL} SELECT CASE WHEN GROUPING(v) = 1 THEN 'all' ELSE v::VARCHAR END AS variant, count(*) AS n, count(*) FILTER (score >= 0.4::DOUBLE) AS n_kept
+FROM (SELECT rule_id % 2 AS v, score FROM rules) GROUP BY ROLLUP (v)""")
+def sweep_rollup(spark, sf_dir):
+    r = P.rules(spark, sf_dir).select((F.col("rule_id") % 2).alias("v"), "score").rollup("v")
+    d = r.agg(F.grouping("v").alias("g"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.4).alias("n_kept"))
+    return d.select(F.when(F.col("g") == 1, "all").otherwise(F.col("v").cast("string")).alias("variant"), "n", "n_kept")

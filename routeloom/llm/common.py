@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """cut(), after which the shuffle files of what led to df are given back at once."""
+def stage(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut() of what ``make`` returns. Nothing else holds that frame, so the shuffle files that led to it are given back at once."""
     import gc
 
-    out = cut(df)
-    del df
+    out = cut(make())
     gc.collect()
     out.sparkSession._jvm.System.gc()
     return out

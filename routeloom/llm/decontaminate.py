@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of documents that repeat a benchmark item.
 
 A window has as many words as an item (the whole document, where that is
-shorter) and is placed where a shingle it shares with an item would align the
-two; no other window can reach a similarity above zero. SimHash fingerprints of
+shorter) and is placed where a shingle it shares with an item aligns the two;
+moving it away from all such places adds no shared shingle. SimHash fingerprints of
 the windows are looked up among the items' by blocks: 64 bits in RADIUS + 1
 blocks, one of which is equal in any two fingerprints within RADIUS. What is
 found so is verified by the exact similarity of the weighted shingles:
@@ -92,7 +92,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first, n_words, n_common, n_all): the most similar window of each document with each item it repeats."""
     items = _items(benchmark)
-    marked = stage(windows(docs, items).withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
+    marked = stage(lambda: windows(docs, items).withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
     known = items.withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s")))
     probe = marked.select("n", "f", F.explode(blocks(F.col("f"), radius)).alias("x")).select("n", "f", "x.*").distinct()
     index = known.select("item_id", "n", "g", F.explode(blocks(F.col("g"), radius)).alias("x")).select("item_id", "n", "g", "x.*")

@@ -72,9 +72,9 @@ def _purpose(name: str, attributes: str) -> tuple[bool, bool]:
     marks = set(_NAME.findall(found.get("class", "") + " " + found.get("id", "")))
     if name in ("html", "body"):
         return False, False
-    if marks & MARKS and not content:
+    if marks & MARKS and (not content or marks & {"comment", "comments"}):
         return True, False
-    return bool(marks & MARKS and marks & {"comment", "comments"}), content or role == "main" or bool(marks & CONTENT and not marks & NOT_CONTENT)
+    return False, content or role == "main" or bool(marks & CONTENT and not marks & NOT_CONTENT)
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -250,7 +250,7 @@ def _parse(pages: DataFrame) -> DataFrame:
 
 def _in_order(rows: DataFrame) -> DataFrame:
     """rows by host, path and key, with their position ``n`` in that order."""
-    ordered = stage(rows.orderBy("host", "path", "key").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    ordered = stage(lambda: rows.orderBy("host", "path", "key").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
     sizes = sorted((r.part, r.size) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size")).collect())  # one row per partition
     start, offsets = 0, []
     for part, size in sizes:
@@ -262,7 +262,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 def siblings(pages: DataFrame) -> DataFrame:
     """(key, deleted): positions of the lines that each page without marked content shares with its neighbours by URL path."""
-    rows = stage(_parse(pages).select("key", "host", "path", "hashes", "marked").dropDuplicates(["key"]))
+    rows = stage(lambda: _parse(pages).select("key", "host", "path", "hashes", "marked").dropDuplicates(["key"]))
     if rows.where(~F.col("marked")).limit(1).count() == 0:
         return rows.select("key", F.lit(None).cast("array<int>").alias("deleted")).limit(0)
     ordered = _in_order(rows)
@@ -295,7 +295,7 @@ BROADCAST_ROWS = 20_000
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
-    deleted = stage(siblings(pages).where(F.size("deleted") > 0))
+    deleted = stage(lambda: siblings(pages).where(F.size("deleted") > 0))
     small = deleted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     parsed = _parse(pages).select("page_id", "url", "lines", "place", "key")
     joined = parsed.join(F.broadcast(deleted) if small else deleted, "key", "left")

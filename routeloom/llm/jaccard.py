@@ -279,15 +279,15 @@ def _search_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (d, n, r) with their class, verified links (a, b) between classes, and (node, component) of the linked classes; the links connect whatever is connected."""
     own = docs.select(ordered_id().alias("d"), "text")
-    members = stage(classes(own))
+    members = stage(lambda: classes(own))
     reps = members.groupBy("c", "c2", "n").agg(F.min("d").alias("r"))
     of_class = members.join(reps, ["c", "c2", "n"]).select("d", "n", "r")
     size = members.agg(F.sum("n")).first()[0] or 0
-    chosen = stage(survivors(own, reps, percent, max(8, size * COUNTED // 100 // LOAD)))
-    sets = stage(_tokens(own, chosen))
+    chosen = stage(lambda: survivors(own, reps, percent, max(8, size * COUNTED // 100 // LOAD)))
+    sets = stage(lambda: _tokens(own, chosen))
     prefix = _prefixes(sets, _order(sets), percent)
     shared = prefix.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t")
-    prefix = stage(prefix.join(shared, "t"))
+    prefix = stage(lambda: prefix.join(shared, "t"))
     found, linked, gained = None, None, True
     for i in range(rounds + 1):
         if linked is None:
@@ -305,13 +305,13 @@ def links(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tupl
         else:
             other = open_.select("t", F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))
             pairs = open_.join(other, "t").where("r > leader").where(alike).select("leader", F.col("r").alias("member")).distinct()
-        pairs, gained = stage(pairs), False
+        pairs, gained = stage(lambda: pairs), False
         if pairs.limit(1).count():
-            new = stage(_search_pairs(sets, pairs, percent))
+            new = stage(lambda: _search_pairs(sets, pairs, percent))
             gained = new.limit(1).count() > 0
             if gained:
-                found = stage(new if found is None else found.unionByName(new).distinct())
-                linked = stage(components(found))
+                found = stage(lambda: new if found is None else found.unionByName(new).distinct())
+                linked = stage(lambda: components(found))
         if last:
             break
     if found is None:

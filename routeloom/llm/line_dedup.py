@@ -161,7 +161,7 @@ def within(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_pairs(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(xa, fa, xb, fb): distinct lines that are nearly equal, each with its first occurrence."""
     own = lines(docs)
-    found = stage(candidates(own.select("x").distinct().withColumn("id", F.xxhash64("x")), distance, min_chars))
+    found = stage(lambda: candidates(own.select("x").distinct().withColumn("id", F.xxhash64("x")), distance, min_chars))
     ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = own.withColumn("id", F.xxhash64("x")).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "x").agg(F.min(occurrence()).alias("f"))
@@ -172,7 +172,7 @@ def near_pairs(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_C
 
 def removed(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, places, near, n_links): per document the places of its removed lines, those of them removed as nearly equal only, and its lines' near links."""
-    pairs = stage(near_pairs(docs, distance, min_chars))
+    pairs = stage(lambda: near_pairs(docs, distance, min_chars))
     both = pairs.select("xa", "fa", "xb", "fb").unionByName(pairs.select(F.col("xb").alias("xa"), F.col("fb").alias("fa"), F.col("xa").alias("xb"), F.col("fa").alias("fb"))).distinct()
     linked = both.groupBy(F.xxhash64("xa").alias("h1"), F.xxhash64(F.lit(1), "xa").alias("h2")).agg(F.count(F.lit(1)).alias("links"), F.max(F.col("fb") < F.col("fa")).alias("near"))
     # from here on a line is its 128-bit hash
@@ -181,7 +181,7 @@ def removed(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHAR
     of_line = first.join(linked, ["h1", "h2"], "left").where("n > 1 OR links > 0").select("h1", "h2", "f", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     hit = at.join(of_line, ["h1", "h2"]).withColumn("later", occurrence() != F.col("f"))
     place = F.when(F.col("later") | F.col("near"), F.col("place"))
-    return stage(hit.groupBy("d").agg(F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("near") & ~F.col("later"), F.col("place"))).alias("near"), F.sum("links").alias("n_links")))
+    return stage(lambda: hit.groupBy("d").agg(F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("near") & ~F.col("later"), F.col("place"))).alias("near"), F.sum("links").alias("n_links")))
 
 
 def _kept(places: str) -> Column:

@@ -182,7 +182,7 @@ def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     """doc_id, n_words, log_score and mean_score (per word) of each row."""
     kind = docs.schema["doc_id"].dataType
     own = docs.select(ordered_id().alias("d"), F.xxhash64("text").alias("t"), "text")
-    words = stage(word_counts(own.select("d", "text")))
+    words = stage(lambda: word_counts(own.select("d", "text")))
     total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
     top = words.orderBy(F.desc("c"), "w").limit(min(head_words, HEAD)).toArrow()  # HEAD rows at most
     head = Head(top.column("w").to_numpy().view(U), top.column("c").to_numpy(), int(total))

@@ -164,9 +164,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     own = docs.select(ordered_id().alias("d"), "text")
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(8, size // LOAD)
-    keys = stage(_shared_anchors(own, window, gram, parts).groupBy("d").agg(F.collect_list("own").alias("keys")))
+    keys = stage(lambda: _shared_anchors(own, window, gram, parts).groupBy("d").agg(F.collect_list("own").alias("keys")))
     later = _later_windows(own.join(keys, "d"), window, gram, parts)
-    return stage(later.groupBy("d").agg(F.collect_list("own").alias("starts")))
+    return stage(lambda: later.groupBy("d").agg(F.collect_list("own").alias("starts")))
 
 
 def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", rows: i
         yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([kinds.tobytes()], pa.binary())], ["clean", "toxic", "kinds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = stage(labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(spans, f"doc_id {kind}, text string, label int").repartition(4, "doc_id"))
+    sample = stage(lambda: labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(spans, f"doc_id {kind}, text string, label int").repartition(4, "doc_id"))
     kinds, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in sample.mapInArrow(count, "clean long, toxic long, kinds binary").toLocalIterator():  # four rows of two counters per bucket
         kinds += np.frombuffer(bytes(r.kinds), np.int32).reshape(2, BUCKETS)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import sum_before
+
 
 def contingency(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: both, only_a, only_b, neither."""
@@ -27,10 +29,9 @@ def paired_errors(pairs: DataFrame, by: str, x: str, gold: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank of each value. Ranks are worked out over the distinct values with their counts."""
+    """Average rank of each value, over the distinct values with their counts, range by range."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(F.col(value).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    ranks = sum_before(counts, value, "_c", "_b").select(F.col(value).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 

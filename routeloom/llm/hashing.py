@@ -3,47 +3,86 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 U = np.uint64
 #: Odd multipliers of the rolling hashes.
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+#: Bytes whose words are hashed together; a longer text is a block of its own.
+BLOCK = 1 << 19
 
 
-class Vocabulary(dict):
-    """Number of each word met so far, with two hashes of it; forgets all when it has grown past its bound."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
-    def __init__(self, bound: int = 500_000) -> None:
-        super().__init__()
-        self.bound = bound
-        self._empty()
 
-    def _empty(self) -> None:
-        self.clear()
-        self.hashes = np.empty((2, 1024), U)
+class Words:
+    """Two 64-bit hashes of every word of texts, the same in every process.
 
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == self.hashes.shape[1]:
-            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
-        h = xxhash.xxh3_128_intdigest(word)
-        self.hashes[:, n] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-        self[word] = n
-        return n
+    A word's hash is a polynomial of its bytes, each byte replaced by a fixed
+    64-bit value, and comes from a difference of running sums: texts are never
+    taken apart word by word.
+    """
+
+    def __init__(self) -> None:
+        index = np.arange(256, dtype=U)
+        self.tables = [mixed(index + U((1 + 1000 * k) * int(BASES[k]) % (1 << 64))) for k in range(2)]
+        self.inverses = [U(pow(int(b), -1, 1 << 64)) for b in BASES]
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        """Powers of the bases and of their inverses, for blocks of up to n bytes."""
+
+        def power(b: np.uint64) -> np.ndarray:
+            x = np.full(n + 1, b, U)
+            x[0] = 1
+            return np.multiply.accumulate(x)
+
+        self.powers = [(power(b), power(i)) for b, i in zip(BASES, self.inverses)]
 
     def words(self, texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Both hashes of all words of the texts, one text after the other, and each text's number of words.
 
-        bytes.split() separates at space and \\x09-\\x0D and nothing else.
+        Words are what stands between bytes 0x20 and 0x09 to 0x0D.
         """
-        if len(self) > self.bound:
-            self._empty()
-        raw = ((t or "").encode("utf-8", "replace") for t in texts)
-        split = [(r.translate(_LOWER) if lower else r).split() for r in raw]
-        size = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter((self[w] for s in split for w in s), np.int64, int(size.sum()))
-        return self.hashes[:, at], size
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        found, sizes, i = [np.zeros((2, 0), U)], [np.zeros(0, np.int64)], 0
+        while i < len(raw):
+            j, total = i, 0
+            while j < len(raw) and (j == i or total + len(raw[j]) < BLOCK):
+                total += len(raw[j]) + 1
+                j += 1
+            h, size = self._block(raw[i:j], lower)
+            found.append(h)
+            sizes.append(size)
+            i = j
+        return np.concatenate(found, axis=1), np.concatenate(sizes)
+
+    def _block(self, raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        joined = b" ".join(raw) + b" "
+        x = np.frombuffer(joined.translate(_LOWER) if lower else joined, np.uint8)
+        if len(x) >= len(self.powers[0][0]):
+            self._grow(2 * len(x))
+        space = _SPACE[x]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.append(0, edge)
+        start, end = edge[::2], edge[1::2]
+        text_end = np.cumsum([len(r) + 1 for r in raw])
+        size = np.diff(np.append(0, np.searchsorted(start, text_end)))
+        out = np.empty((2, len(start)), U)
+        for k, (table, (power, inverse)) in enumerate(zip(self.tables, self.powers)):
+            sums = np.empty(len(x) + 1, U)
+            sums[0] = 0
+            np.cumsum(table.take(x) * power[: len(x)], out=sums[1:])
+            h = (sums.take(end) - sums.take(start)) * inverse.take(start)
+            out[k] = mixed(h ^ (end - start).astype(U))
+        return out, size
 
 
 def rolling(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:

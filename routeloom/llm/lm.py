@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ordered_id, stage, table
-from .hashing import U, Vocabulary
+from .hashing import U, Words
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Words that are broadcast (a power of two), pairs in a partition, rows looked at together.
@@ -45,9 +45,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c): how often each word (its hash) occurs in the corpus."""
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in _slices(batches):
-            h, _ = vocabulary.words(b.column(1).to_pylist())
+            h, _ = hasher.words(b.column(1).to_pylist())
             w, c = np.unique(h[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c, pa.int64())], ["w", "c"])
 
@@ -74,9 +74,9 @@ class Head:
         return np.where(count >= MIN_COUNT, np.log(count / c1) - np.log(BACKOFF * c2 / self.total), 0.0)
 
 
-def _explode(batch, vocabulary: Vocabulary, head: Head):
+def _explode(batch, hasher: Words, head: Head):
     """Of a batch: words' hashes, their numbers, their rows, and which follow a word of the same text."""
-    h, size = vocabulary.words(batch.column(2).to_pylist())
+    h, size = hasher.words(batch.column(2).to_pylist())
     row = np.repeat(np.arange(len(size)), size)
     follows = np.zeros(len(row), bool)
     follows[1:] = row[1:] == row[:-1]
@@ -87,9 +87,9 @@ def _local(docs: DataFrame, shared) -> DataFrame:
     """(d, t, n, s): each row's words and the weights that the broadcast words alone decide."""
 
     def run(batches):
-        vocabulary, head = Vocabulary(), shared.value
+        hasher, head = Words(), shared.value
         for b in _slices(batches):
-            _, at, row, _, size = _explode(b, vocabulary, head)
+            _, at, row, _, size = _explode(b, hasher, head)
             own = at >= 0
             s = np.bincount(row[own], np.log(head.c[at[own]] / head.total), len(size)) + np.log(BACKOFF) * np.maximum(size - 1, 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(s)], ["d", "t", "n", "s"])
@@ -101,9 +101,9 @@ def _packed(docs: DataFrame, shared, parts: int) -> DataFrame:
     """(part, ids, pairs, counts, rows, times): per batch and part, the sorted pairs of broadcast words and the rows they occur in."""
 
     def run(batches):
-        vocabulary, head = Vocabulary(), shared.value
+        hasher, head = Words(), shared.value
         for b in _slices(batches):
-            _, at, row, follows, _ = _explode(b, vocabulary, head)
+            _, at, row, follows, _ = _explode(b, hasher, head)
             i = np.flatnonzero(follows & (at >= 0) & np.append(False, at[:-1] >= 0))
             pair = at[i - 1] << 20 | at[i]
             # part first, then pair, then row; equal neighbours are counted
@@ -157,9 +157,9 @@ def _rest(docs: DataFrame, shared, words: DataFrame) -> DataFrame:
     """(d, t, n, s): weights of the words that are not broadcast and of the pairs that hold one."""
 
     def run(batches):
-        vocabulary, head = Vocabulary(), shared.value
+        hasher, head = Words(), shared.value
         for b in _slices(batches):
-            h, at, row, follows, _ = _explode(b, vocabulary, head)
+            h, at, row, follows, _ = _explode(b, hasher, head)
             lone = np.flatnonzero(at < 0)
             i = np.flatnonzero(follows & ((at < 0) | np.append(False, at[:-1] < 0)))
             w1 = np.concatenate([np.zeros(len(lone), np.int64), h[i - 1].view(np.int64)])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ordered_id, stage, table
-from .hashing import BASES, U, Vocabulary, left, rolling, sliding
+from .hashing import BASES, U, Words, left, rolling, sliding
 
 WINDOW, GRAM = 20, 8
 #: Rows looked at together.
@@ -82,9 +82,9 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int) -> Data
     """(d, own): of each document anchors that are found at two places or more, packed, in one row or several."""
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in _slices(batches, 4 * SLICE):
-            h, size = vocabulary.words(b.column(1).to_pylist())
+            h, size = hasher.words(b.column(1).to_pylist())
             if len(h[0]) < window:
                 continue
             g, low, ok = _anchors(h[0], size, window, gram)
@@ -121,9 +121,9 @@ def _later_windows(docs: DataFrame, window: int, gram: int, parts: int) -> DataF
     """(d, own): of each document starts of windows that occur earlier, packed, in one row or several. docs has the anchors to look at as ``keys``."""
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in _slices(batches, 4 * SLICE):
-            h, size = vocabulary.words(b.column(1).to_pylist())
+            h, size = hasher.words(b.column(1).to_pylist())
             if len(h[0]) < window:
                 continue
             _, low, ok = _anchors(h[0], size, window, gram)

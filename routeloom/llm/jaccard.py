@@ -11,8 +11,9 @@ by rounds: its leader is the index, its members are queries, and a T-occurrence
 search (DivideSkip: short inverted lists are heap-merged, long ones probed by
 bisection) finds the members with the overlap their sizes require. Members
 known to be connected need no further comparison, so groups of near copies
-fall to a few leaders. A member is compared with one leader a round; once a
-round finds nothing new, or after ROUNDS, the pairs that are still open are all
+fall to a few leaders. A member is compared with one leader a round, and in
+groups of up to SMALL members with all others. Once a round finds nothing new,
+or the pairs that are still open are few, or after ROUNDS, all open pairs are
 searched. No pair is given up.
 
 Defined results: a null or empty text has no shingles and is linked with
@@ -29,18 +30,20 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LAST, ordered_id, stage, table
 from .components import components
-from .hashing import BASES, U, Vocabulary, rolling
+from .hashing import BASES, U, Words, rolling
 
 SHINGLE, PERCENT = 5, 80
 #: Share of all shingles whose occurrences are counted, of 100.
 COUNTED = 30
 #: Counters of the order of shingles; leaders' rounds; queries in a block.
-BUCKETS, ROUNDS, BLOCK = 1 << 20, 6, 1000
+BUCKETS, ROUNDS, BLOCK = 1 << 20, 4, 1000
+#: Members of a group of which all pairs are compared at once.
+SMALL = 4
 #: Shingles per part in which they meet.
 LOAD = 2_000_000
 #: Class ids that are broadcast at most; beyond, both sides are shuffled.
@@ -58,11 +61,11 @@ def overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _sets(batch, vocabulary: Vocabulary):
+def _sets(batch, hasher: Words):
     """Sorted distinct shingle hashes of each row."""
     for i in range(0, batch.num_rows, SLICE):
         part = batch.slice(i, SLICE)
-        h, size = vocabulary.words(part.column(1).to_pylist(), lower=True)
+        h, size = hasher.words(part.column(1).to_pylist(), lower=True)
         whole = rolling(h[0], SHINGLE, BASES[0])
         end = np.cumsum(size)
         for k, (e, n) in enumerate(zip(end.tolist(), size.tolist())):
@@ -81,9 +84,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """(d, n, c, c2): size and 128-bit digest of each row's set."""
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in batches:
-            rows = [(len(s), *_digest(s)) for _, s in _sets(b, vocabulary)]
+            rows = [(len(s), *_digest(s)) for _, s in _sets(b, hasher)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], pa.int64()) for j in range(3))], ["d", "n", "c", "c2"])
 
     return docs.select("d", "text").mapInArrow(run, "d long, n long, c long, c2 long")
@@ -103,10 +106,10 @@ def _alone(docs: DataFrame, parts: int) -> DataFrame:
     top = U(COUNTED * (1 << 64) // 100)
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in batches:
             seen, ts, cs = set(), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for _, s in _sets(b, vocabulary):
+            for _, s in _sets(b, hasher):
                 c = _digest(s)[0]
                 if c not in seen:
                     seen.add(c)
@@ -153,10 +156,10 @@ def _tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     own = docs.join(F.broadcast(chosen) if few else chosen, docs["d"] == chosen["r"]).select("d", "text", "c")
 
     def run(batches):
-        vocabulary = Vocabulary()
+        hasher = Words()
         for b in batches:
             want = b.column(2).to_pylist()
-            rows = [(i, len(s), s.tobytes()) for i, s in _sets(b, vocabulary) if _digest(s)[0] == want[i]]
+            rows = [(i, len(s), s.tobytes()) for i, s in _sets(b, hasher) if _digest(s)[0] == want[i]]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["r", "n", "s"])
 
     return own.mapInArrow(run, "r long, n long, s binary").dropDuplicates(["r"])
@@ -291,27 +294,42 @@ def links(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tupl
     found, linked, gained = None, None, True
     for i in range(rounds + 1):
         if linked is None:
-            open_ = prefix.withColumn("component", F.col("r"))
+            at = prefix.withColumn("component", F.col("r"))
         else:
             at = prefix.join(linked.withColumnRenamed("node", "r"), "r", "left").withColumn("component", F.coalesce("component", F.col("r")))
-            groups = at.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
-            open_ = at.join(groups, "t")
+        groups = stage(lambda: at.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "k"))
+        rows_, load = (x or 0 for x in groups.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first())
+        if not rows_:
+            break
+        open_ = at.join(groups, "t")
+        last = i == rounds or not gained or load <= SMALL * rows_
         alike = (F.col("n") * 100 >= F.col("ln") * percent) & (F.col("ln") * 100 >= F.col("n") * percent) & (F.col("component") != F.col("lc"))
-        last = i == rounds or not gained
-        if not last:
-            rank = F.xxhash64(F.col("r"), F.lit(i)) if i else F.col("r")
-            leader = open_.groupBy("t").agg(F.min(F.struct(rank.alias("k"), F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))).alias("x")).select("t", "x.*")
-            pairs = open_.join(leader, "t").where(alike).groupBy(F.col("r").alias("member")).agg(F.min(F.struct("k", "leader")).alias("x")).select("x.leader", "member")
+
+        def every(rows: DataFrame) -> DataFrame:
+            """All pairs of the groups."""
+            other = rows.select("t", F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))
+            return rows.join(other, "t").where("r > leader").where(alike).select("leader", F.col("r").alias("member"))
+
+        def led(rows: DataFrame, rank: Column) -> DataFrame:
+            """Each member with one leader of its groups."""
+            leader = rows.groupBy("t").agg(F.min(F.struct(rank.alias("k"), F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))).alias("x")).select("t", "x.k", "x.leader", "x.ln", "x.lc")
+            return rows.drop("k").join(leader, "t").where(alike).groupBy(F.col("r").alias("member")).agg(F.min(F.struct("k", "leader")).alias("x")).select("x.leader", "member")
+
+        if last:
+            pairs = every(open_)
         else:
-            other = open_.select("t", F.col("r").alias("leader"), F.col("n").alias("ln"), F.col("component").alias("lc"))
-            pairs = open_.join(other, "t").where("r > leader").where(alike).select("leader", F.col("r").alias("member")).distinct()
-        pairs, gained = stage(lambda: pairs), False
+            large = open_.where(F.col("k") > SMALL)
+            pairs = led(large, F.xxhash64(F.col("r"), F.lit(i)) if i else F.col("r"))
+            if i == 0:  # small groups are done once all their pairs are
+                pairs = pairs.unionByName(every(open_.where(F.col("k") <= SMALL)))
+                prefix = at.select("t", "r", "n").join(groups.where(F.col("k") > SMALL).select("t"), "t")
+        pairs, gained = stage(lambda: pairs.distinct()), False
         if pairs.limit(1).count():
             new = stage(lambda: _search_pairs(sets, pairs, percent))
             gained = new.limit(1).count() > 0
             if gained:
                 found = stage(lambda: new if found is None else found.unionByName(new).distinct())
-                linked = stage(lambda: components(found))
+                linked = components(found)
         if last:
             break
     if found is None:

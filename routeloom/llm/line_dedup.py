@@ -63,8 +63,8 @@ def index_keys(x: Column, distance: int) -> Column:
     return F.array(*[_key(x, n, i, _edge(n, i, parts), _edge(n, i + 1, parts) - _edge(n, i, parts)) for i in range(parts)])
 
 
-def probe_keys(x: Column, distance: int) -> Column:
-    """Keys of the substrings that may be a segment of a line as long as this one or shorter by up to ``distance``."""
+def probe_keys(x: Column, distance: int, min_chars: int = 0) -> Column:
+    """Keys of the substrings that may be a segment of a line as long as this one or shorter by up to ``distance``; nulls where there is none."""
     n, parts, out = F.length(x), distance + 1, []
     for less in range(distance + 1):
         m = n - less
@@ -72,14 +72,16 @@ def probe_keys(x: Column, distance: int) -> Column:
             at, size = _edge(m, i, parts), _edge(m, i + 1, parts) - _edge(m, i, parts)
             for shift in range(max(-i, less - (distance - i)), min(i, less + (distance - i)) + 1):
                 start = at + shift
-                out.append(F.when((start >= 0) & (start + size <= n), _key(x, m, i, start, size)))
+                out.append(F.when((n >= min_chars) & (start >= 0) & (start + size <= n), _key(x, m, i, start, size)))
     return F.array(*out)
 
 
 def candidates(distinct: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): ids of distinct lines (id, x) that share a segment where the distance allows it; a is not shorter than b."""
-    index = distinct.where(F.length("x") >= min_chars - distance).select(F.col("id").alias("b"), F.explode(index_keys(F.col("x"), distance)).alias("k"))
-    probe = distinct.where(F.length("x") >= min_chars).select(F.col("id").alias("a"), F.length("x").alias("n"), F.explode(probe_keys(F.col("x"), distance)).alias("k")).where("k IS NOT NULL")
+    # the same condition below both sides, so that the distinct lines are shuffled once
+    both = distinct.where(F.length("x") >= min_chars - distance)
+    index = both.select(F.col("id").alias("b"), F.explode(index_keys(F.col("x"), distance)).alias("k"))
+    probe = both.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("x"), distance, min_chars)).alias("k")).where("k IS NOT NULL")
     return probe.join(index, "k").where("a <> b").select("a", "b").distinct()
 
 

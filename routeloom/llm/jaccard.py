@@ -172,8 +172,9 @@ def _order(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for s in b.column(0):
-                total += np.bincount((np.frombuffer(s.as_py(), U) >> U(44)).astype(np.int64), minlength=BUCKETS)
+            for i in range(0, b.num_rows, SLICE):
+                some = np.frombuffer(b"".join(b.column(0).slice(i, SLICE).to_pylist()), U)
+                total += np.bincount((some >> U(44)).astype(np.int64), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([total[i * size : (i + 1) * size].astype(np.uint32).tobytes() for i in range(pieces)], pa.binary())], ["piece", "counts"])
 
     def add(key, rows):

@@ -22,14 +22,28 @@ def neg_log_cost(spark, sf_dir):
     return P.rules(spark, sf_dir).select("rule_id", F.round(G.cost(F.col("score")), 6).alias("cost"))
 
 
-@query(_NET + """, up AS (SELECT DISTINCT child AS k, product AS ancestor FROM edges WHERE child <> product),
-reach AS (SELECT k, ancestor FROM up WHERE k < 20 UNION SELECT r.k, u.ancestor FROM reach r JOIN up u ON u.k = r.ancestor)
-SELECT k, ancestor FROM reach""")
-def ancestor_closure(spark, sf_dir):
-    roots = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("k"))
+def _closure_sql(some: str) -> str:
+    return _NET + f""", up AS (SELECT DISTINCT child AS k, product AS ancestor FROM edges WHERE child <> product),
+reach AS (SELECT k, ancestor FROM up{some} UNION SELECT r.k, u.ancestor FROM reach r JOIN up u ON u.k = r.ancestor)
+SELECT k, ancestor FROM reach"""
+
+
+def _closure(spark, sf_dir, some="true"):
+    roots = table(spark, sf_dir, "part").where(some).select(F.col("p_partkey").alias("k"))
     return G.closure(P.rules(spark, sf_dir), roots)
 
 
+@query(_closure_sql(" WHERE k < 20"))
+def ancestor_closure(spark, sf_dir):
+    return _closure(spark, sf_dir, "p_partkey < 20")
+
+
+@query(_closure_sql(""))
+def ancestor_closure_all(spark, sf_dir):
+    """Of every part."""
+    return _closure(spark, sf_dir)
+
+
 @query(f"""
 WITH RECURSIVE {_PAIRS}, up AS (SELECT DISTINCT a AS k, product AS ancestor FROM made WHERE a <> product UNION SELECT DISTINCT b, product FROM made WHERE b <> product),
 reach AS (SELECT k, ancestor FROM up UNION SELECT r.k, u.ancestor FROM reach r JOIN up u ON u.k = r.ancestor),
@@ -49,12 +63,26 @@ def _levels(n: int) -> str:
     return ", ".join(f"d{i} AS MATERIALIZED (SELECT run, k, depth FROM d{i - 1} UNION ALL SELECT DISTINCT d.run, e.child, {i} FROM d{i - 1} d JOIN step e ON e.product = d.k WHERE d.depth = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} x WHERE x.run = d.run AND x.k = e.child))" for i in range(1, n + 1))
 
 
-@query(_NET + f", step AS (SELECT DISTINCT product, child FROM edges), d0 AS (SELECT p_partkey AS run, p_partkey AS k, 0 AS depth FROM part WHERE p_partkey % 40 = 7), {_levels(5)} SELECT run, k, depth FROM d5")
-def min_depth_intern(spark, sf_dir):
-    roots = table(spark, sf_dir, "part").where("p_partkey % 40 = 7").select(F.col("p_partkey").alias("run"), F.col("p_partkey").alias("k"))
+def _depth_sql(some: str) -> str:
+    return _NET + f", step AS (SELECT DISTINCT product, child FROM edges), d0 AS (SELECT p_partkey AS run, p_partkey AS k, 0 AS depth FROM part{some}), {_levels(5)} SELECT run, k, depth FROM d5"
+
+
+def _depths(spark, sf_dir, some="true"):
+    roots = table(spark, sf_dir, "part").where(some).select(F.col("p_partkey").alias("run"), F.col("p_partkey").alias("k"))
     return G.min_depth(P.rules(spark, sf_dir), roots, 5)
 
 
+@query(_depth_sql(" WHERE p_partkey % 40 = 7"))
+def min_depth_intern(spark, sf_dir):
+    return _depths(spark, sf_dir, "p_partkey % 40 = 7")
+
+
+@query(_depth_sql(""))
+def min_depth_intern_all(spark, sf_dir):
+    """Of every part."""
+    return _depths(spark, sf_dir)
+
+
 def _solved_sql(n: int) -> str:
     return ", ".join(f"s{i} AS MATERIALIZED (SELECT k FROM s{i - 1} UNION SELECT product FROM (SELECT rule_id, product, bool_and(child IN (SELECT k FROM s{i - 1})) AS ok FROM edges GROUP BY 1, 2) WHERE ok)" for i in range(1, n + 1))
 
@@ -110,17 +138,31 @@ def retro_delta(spark, sf_dir):
     return G.route_delta(rules, rn, root).select("k", F.round("delta", 6).alias("delta"))
 
 
-@query(_NET + f""", s0 AS (SELECT k FROM stock), {_solved_sql(ROUNDS)},
+def _walk_sql(some: str) -> str:
+    return _NET + f""", s0 AS (SELECT k FROM stock), {_solved_sql(ROUNDS)},
 ok AS (SELECT e.rule_id, e.product, max(score) AS score FROM edges e GROUP BY 1, 2 HAVING bool_and(child IN (SELECT k FROM s{ROUNDS}))),
 best AS (SELECT product, arg_max(rule_id, (score, -rule_id)) AS rule_id FROM ok WHERE product NOT IN (SELECT k FROM stock) GROUP BY 1),
-walk AS (SELECT product AS target, product AS k, rule_id FROM best WHERE product % 25 = 3
+walk AS (SELECT product AS target, product AS k, rule_id FROM best{some}
   UNION SELECT w.target, b.product, b.rule_id FROM walk w JOIN edges e ON e.rule_id = w.rule_id JOIN best b ON b.product = e.child)
-SELECT target, k, rule_id FROM walk""")
-def route_best(spark, sf_dir):
+SELECT target, k, rule_id FROM walk"""
+
+
+def _walked(spark, sf_dir, some="true"):
     rules = P.rules(spark, sf_dir)
     stock = P.stock(spark, sf_dir)
     best = routes.cheapest_rules(rules, G.solved(rules, stock), stock)
-    return routes.walk(best, rules, best.where("product % 25 = 3").select(F.col("product").alias("target")))
+    return routes.walk(best, rules, best.where(some).select(F.col("product").alias("target")))
+
+
+@query(_walk_sql(" WHERE product % 25 = 3"))
+def route_best(spark, sf_dir):
+    return _walked(spark, sf_dir, "product % 25 = 3")
+
+
+@query(_walk_sql(""))
+def route_best_all(spark, sf_dir):
+    """Of every product that has a route."""
+    return _walked(spark, sf_dir)
 
 
 @query(f"""
@@ -213,7 +255,7 @@ def dependents(spark, sf_dir):
 def _search(spark, sf_dir, algorithm):
     from .planner import Planner
 
-    targets = table(spark, sf_dir, "part").where("p_partkey % 40 = 7").select(F.col("p_partkey").cast("string").alias("target"))
+    targets = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("target"))
     rules = P.rules(spark, sf_dir).select(F.col("product").cast("string").alias("product"), F.col("reactants").cast("array<string>").alias("reactants"), "score", F.col("rule_id").alias("template_id"))
     stock = P.stock(spark, sf_dir).select(F.col("k").cast("string").alias("k"))
     return Planner(rules, stock, algorithm=algorithm, value="zero").plan(targets, max_depth=5, max_expansions=60)

@@ -1,9 +1,9 @@
 """Benchmark decontamination: windows of documents that repeat a benchmark item.
 
 A window has as many words as an item (the whole document, where that is
-shorter) and is placed where a shingle it shares with an item aligns the two;
-moving it away from all such places adds no shared shingle. SimHash fingerprints of
-the windows are looked up among the items' by blocks: 64 bits in RADIUS + 1
+shorter) and may begin at any word. At similarity 0.8 the windows' shingles that
+occur in items of that length number needed() or more, so only such places are
+looked at, without loss. SimHash fingerprints of the windows are looked up among the items' by blocks: 64 bits in RADIUS + 1
 blocks, one of which is equal in any two fingerprints within RADIUS. What is
 found so is verified by the exact similarity of the weighted shingles:
 100 * sum of the smaller counts >= 80 * sum of the larger counts, over shingles
@@ -13,7 +13,8 @@ Two texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a
 standard deviation of 2.8; RADIUS is 3.5 deviations beyond.
 
 Defined results: null and empty texts and items without words match nothing;
-repeated rows are one match; null ids are kept as they are; further columns are
+of equally similar windows, one that a shared shingle aligns with the item comes
+first, then the first of the document; repeated rows are one match; null ids are kept as they are; further columns are
 ignored; empty tables give an empty result.
 """
 
@@ -27,12 +28,19 @@ from .common import lower_ascii, stage, table, words
 SHINGLE, PERCENT, RADIUS, BITS = 5, 80, 19, 64
 #: Shingles of items that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST_SHINGLES = 500_000
+#: Documents with places to look at that are broadcast at most.
+BROADCAST_ROWS = 300_000
 
 
 def _hash(w: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, at + j) for j in range(k)])
 
 
+def hashes(w: Column, k: int) -> Column:
+    """Hashes of all runs of k words of an array of k or more, in order."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda at: _hash(w, at, k))
+
+
 def shingles(w: Column) -> Column:
     """Texts of the shingles of an array of words, in order."""
     n = F.size(w)
@@ -63,46 +71,70 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("iw")).where(F.size("iw") > 0).withColumn("n", F.size("iw")).withColumn("k", F.least(F.size("iw"), F.lit(SHINGLE)))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, first, n, w): windows of n words that share an aligned shingle with some item, once each."""
+def needed(own: Column, other: Column, percent: int) -> Column:
+    """Shingles that multisets of own and other shingles have in common at least, if their similarity is percent."""
+    return F.ceil((own + other) * percent / (100 + percent)).cast("int")
+
+
+def starts(places: Column, need: Column, span: Column, last: Column) -> Column:
+    """All f up to ``last`` for which ``need`` or more of the sorted places lie from f to f + span - 1, in order and once each."""
+    block = F.sequence(F.lit(0), F.size(places) - need)
+
+    def of(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(places, i + need - 1) - span + 1, F.coalesce(F.get(places, i - 1) + 1, F.lit(0)))
+        high = F.least(F.get(places, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(places) >= need, F.flatten(F.transform(block, of)))
+
+
+def windows(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, t, size, first, n, w): windows of n words of which enough shingles occur in items of n words; t is the text's hash, size its words."""
     d = docs.select("doc_id", F.xxhash64("text").alias("t"), words(lower_ascii(F.col("text"))).alias("w")).where(F.size("w") > 0)
     at = items.select("n", "k", "iw", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("q"))
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to SHINGLE
     found = None
     for k in sizes:
-        index = at.where(F.col("k") == k).select(_hash(F.col("iw"), F.col("q"), k).alias("h"), "q", "n").distinct()
+        index = at.where(F.col("k") == k).select(_hash(F.col("iw"), F.col("q"), k).alias("h"), "n").distinct()
         small = index.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-        places = d.where(F.size("w") >= k).select("doc_id", "t", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
-        n = F.least(F.col("n"), F.size("w"))
-        first = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("w") - F.col("n")))
-        if small:
-            hit = places.withColumn("h", _hash(F.col("w"), F.col("p"), k)).join(F.broadcast(index), "h").select("doc_id", "t", first.alias("first"), "n", F.slice("w", first + 1, n).alias("w"))
-        else:
-            # light rows meet the index; the words follow once the places are known
-            hit = places.select("doc_id", "t", "p", F.size("w").alias("size"), _hash(F.col("w"), F.col("p"), k).alias("h")).join(index, "h")
-            low = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
-            hit = hit.select(F.col("doc_id").alias("i"), F.col("t").alias("j"), low.alias("first"), "n").distinct()
-            hit = d.join(hit, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("j"))).select("doc_id", "t", "first", "n", F.slice("w", F.col("first") + 1, n).alias("w"))
+        places = d.where(F.size("w") >= k).select("doc_id", "t", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("p", "h"))
+        hit = places.join(F.broadcast(index) if small else index, "h")
+        own, other = F.least(F.col("n"), F.col("size")) - k + 1, F.col("n") - k + 1
+        hit = hit.groupBy("doc_id", "t", "size", "n").agg(F.array_sort(F.collect_set("p")).alias("ps")).withColumn("need", needed(own, other, percent))
+        firsts = starts(F.col("ps"), F.col("need"), own, F.greatest(F.lit(0), F.col("size") - F.col("n")))
+        hit = hit.select("doc_id", "t", "size", "n", firsts.alias("firsts")).where(F.size("firsts") > 0)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return d.where(F.lit(False)).select("doc_id", F.lit(0).alias("first"), F.lit(0).alias("n"), "w")
-    return found.groupBy("doc_id", "t", "first", "n").agg(F.first("w").alias("w")).drop("t")
+        return d.where(F.lit(False)).select("doc_id", "t", F.lit(0).alias("size"), F.lit(0).alias("first"), F.lit(0).alias("n"), "w")
+    found = stage(lambda: found.select(F.col("doc_id").alias("i"), F.col("t").alias("j"), "size", "n", "firsts"))
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # light rows first; the words follow once the places are known
+    d = d.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("j")))
+    d = d.select("doc_id", "t", "size", "n", "w", F.explode("firsts").alias("first"))
+    return d.select("doc_id", "t", "size", "first", "n", F.slice("w", F.col("first") + 1, F.col("n")).alias("w"))
+
+
+def aligned(s: Column, item: Column, first: Column, last: Column) -> Column:
+    """Whether a shared shingle puts the window where it is; at either end of the document also one that would put it beyond."""
+    moves = F.transform(s, lambda x, i: F.when(F.array_contains(item, x), F.array_position(item, x) - 1 - i))
+    return F.exists(moves, lambda x: (x == 0) | (x > 0) & (first == 0) | (x < 0) & (first == last))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first, n_words, n_common, n_all): the most similar window of each document with each item it repeats."""
     items = _items(benchmark)
-    marked = stage(lambda: windows(docs, items).withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
+    marked = stage(lambda: windows(docs, items, percent).drop("t").withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
     known = items.withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s")))
     probe = marked.select("n", "f", F.explode(blocks(F.col("f"), radius)).alias("x")).select("n", "f", "x.*").distinct()
     index = known.select("item_id", "n", "g", F.explode(blocks(F.col("g"), radius)).alias("x")).select("item_id", "n", "g", "x.*")
     near = probe.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("n", "f", "item_id").distinct()
-    exact = known.select(F.col("item_id").alias("i"), counted(F.col("s")).alias("c"))
-    pair = marked.select("doc_id", "first", "n", "f", counted(F.col("s")).alias("a")).join(near, ["n", "f"]).join(exact, F.col("item_id").eqNullSafe(F.col("i")))
+    exact = known.select(F.col("item_id").alias("i"), counted(F.col("s")).alias("c"), F.col("s").alias("is"))
+    pair = marked.select("doc_id", "first", "size", "n", "f", "s", counted(F.col("s")).alias("a")).join(near, ["n", "f"]).join(exact, F.col("item_id").eqNullSafe(F.col("i")))
     common = F.size(F.array_intersect("a", "c")).cast("long")
-    pair = pair.select("doc_id", "item_id", "first", F.col("n").alias("n_words"), common.alias("n_common"), (F.size("a") + F.size("c")).cast("long").alias("both"))
+    pair = pair.select("doc_id", "item_id", "first", "size", "s", "is", F.col("n").alias("n_words"), common.alias("n_common"), (F.size("a") + F.size("c")).cast("long").alias("both"))
     pair = pair.withColumn("n_all", F.col("both") - F.col("n_common")).where(F.col("n_common") * 100 >= F.col("n_all") * percent)
-    best = F.max_by(F.struct("first", "n_words", "n_common", "n_all"), F.struct(F.col("n_common") / F.col("n_all"), -F.col("first"))).alias("x")
+    fits = aligned(F.col("s"), F.col("is"), F.col("first"), F.greatest(F.lit(0), F.col("size") - F.col("n_words")))
+    best = F.max_by(F.struct("first", "n_words", "n_common", "n_all"), F.struct(F.col("n_common") / F.col("n_all"), fits, -F.col("first"))).alias("x")
     return pair.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("x.first").cast("long").alias("first"), F.col("x.n_words").cast("long").alias("n_words"), "x.n_common", "x.n_all")
 
 

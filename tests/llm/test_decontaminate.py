@@ -57,3 +57,17 @@ def test_edges(spark):
     assert got == [("3", "7"), ("3", "None"), ("None", "7"), ("None", "None")]
     assert [r.doc_id for r in d.clean(docs, bench).collect()] == [4] and d.clean(docs, bench).columns == docs.columns
     assert d.matches(docs.limit(0), bench).count() == 0 and d.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_words_put_into_a_passage(spark):
+    """The best window lies between the places that shared shingles give."""
+    docs, items = [], []
+    for k, (n, cut, put) in enumerate([(80, 2, 4), (90, 2, 4), (92, 2, 4), (110, 3, 6), (30, 0, 1)]):
+        v = [f"i{k}w{j}" for j in range(n)]
+        x = [f"a{j}" for j in range(cut)] + v[cut : n // 2] + [f"b{j}" for j in range(put)] + v[n // 2 : n - cut] + [f"c{j}" for j in range(cut)]
+        items.append((k, " ".join(v)))
+        docs.append((k, " ".join([f"x{j}" for j in range(50)] + x + [f"y{j}" for j in range(50)])))
+    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): r.n_common / r.n_all for r in got} == {k: x for k, (x, _) in want.items()}
+    assert {(k, k) for k in range(4)} <= set(want)

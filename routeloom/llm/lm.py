@@ -33,6 +33,8 @@ from .hashing import U, Words
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Words that are broadcast (a power of two), pairs in a partition, rows looked at together.
 HEAD, LOAD, SLICE = 1 << 20, 3_000_000, 4000
+#: Largest count in an entry.
+MOST = 65535
 
 
 def _slices(batches):
@@ -114,6 +116,14 @@ def _packed(docs: DataFrame, shared, parts: int) -> DataFrame:
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(pair)))
             part, pair, at_row = part[first], pair[first], at_row[first]
+            # a larger count than fits takes several entries
+            entries = (times + MOST - 1) // MOST
+            if (entries > 1).any():
+                last = np.cumsum(entries) - 1
+                rest = times - (entries - 1) * MOST
+                part, pair, at_row = (np.repeat(x, entries) for x in (part, pair, at_row))
+                times = np.full(len(pair), MOST)
+                times[last] = rest
             edge = np.searchsorted(part, np.arange(parts + 1))
             ids = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))])
             out = []
@@ -123,7 +133,7 @@ def _packed(docs: DataFrame, shared, parts: int) -> DataFrame:
                     continue
                 distinct, n = np.unique(pair[x], return_counts=True)
                 rows = np.unique(at_row[x])
-                out.append((p, ids[:, rows].tobytes(), distinct.tobytes(), n.astype(np.int32).tobytes(), np.searchsorted(rows, at_row[x]).astype(np.uint16).tobytes(), np.minimum(times[x], 65535).astype(np.uint16).tobytes()))
+                out.append((p, ids[:, rows].tobytes(), distinct.tobytes(), n.astype(np.int32).tobytes(), np.searchsorted(rows, at_row[x]).astype(np.uint16).tobytes(), times[x].astype(np.uint16).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in range(1, 6))], ["part", "ids", "pairs", "counts", "rows", "times"])
 
     return docs.mapInArrow(run, "part int, ids binary, pairs binary, counts binary, rows binary, times binary")

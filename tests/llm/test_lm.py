@@ -35,3 +35,10 @@ def test_against_brute_force(spark, head):
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pair_repeated_more_often_than_an_entry_holds(spark):
+    rows = [(0, "a " * 70_001 + "b"), (1, "a a b c"), (2, "x y " * 140_000), (3, "y x y c")]
+    got = sorted((str(r.doc_id), r.n_words, r.log_score) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    for (i, n, s), (j, k, t) in zip(got, brute(rows), strict=True):
+        assert (i, n) == (j, k) and s == pytest.approx(t, rel=1e-9, abs=1e-5)

@@ -140,8 +140,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radiu
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that repeat no item, with all their columns."""
-    hit = matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    # rows are told apart by id and text, since null ids and shared ids have several texts
+    key = F.struct("doc_id", F.xxhash64("text").alias("t"))
+    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id.doc_id").alias("_hit"), F.col("doc_id.t").alias("_text")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,11 @@ def test_words_put_into_a_passage(spark):
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id): r.n_common / r.n_all for r in got} == {k: x for k, (x, _) in want.items()}
     assert {(k, k) for k in range(4)} <= set(want)
+
+
+def test_clean_keeps_other_texts_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, text, 1), (None, "clean one", 2), (None, None, 3), (None, "clean two", 4), (3, text, 5), (3, "clean three", 6), (4, text, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = d.clean(docs, spark.createDataFrame([(7, text)], "item_id long, text string"))
+    assert sorted(r.row for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs.columns

@@ -1,23 +1,22 @@
-"""LM scoring: stupid-backoff scores of whole documents against the whole corpus.
+"""LM scoring: stupid-backoff scores of whole documents by the rest of the corpus.
 
-A word's score after another is c(w1 w2) / c(w1) where the pair was counted
-MIN_COUNT times or more in the corpus, and BACKOFF * c(w2) / N otherwise; a
-text's first word scores c(w) / N. A document's log score is then a sum over
-its n-grams of one weight each: log(c(w) / N) per word, log(BACKOFF) per word
-but the first, and, per pair that was counted often enough, what lifts its
-second word from the backed-off score to the pair's own. So the n-gram tables
-are partitioned by hash, joined to the exploded n-grams, and the weights summed
-per document.
+A word scores c(g w) / c(g) with the longest context g, of up to ORDER - 1 words,
+after which the rest of the corpus has it, times BACKOFF for every word that the
+context is shorter than it could be; without context c(w) / N; and BACKOFF / N
+where the rest of the corpus has no such word. Counts are those of all documents
+less the document's own, so that a text is not its own model; N is at least 1.
 
 Words meet as partial counts per batch. The HEAD most frequent words, a fixed
-number, are broadcast; pairs of such words are two small numbers, and travel as
-packed arrays per batch and partition of the table, sorted, with the documents
-they occur in. All other words and pairs travel as rows and are joined to their
-counts by hash.
+number, are broadcast and become numbers; an n-gram of up to three of them is a
+64-bit key, any other a 64-bit hash. Documents become blocks of numbers, written
+once. Every block sends its distinct n-grams, with how often it has them, to the
+n-gram tables, which are partitioned by hash; they sum the counts and answer
+every block, which joins the answers to its exploded n-grams and sums the
+scores of each document.
 
 Defined results: a null or empty text has no words, a log score of 0 and a null
-mean; repeated rows count as often as they occur and get equal scores; null ids
-are kept; further columns are ignored; an empty table gives an empty result.
+mean; rows are documents of their own, also where ids repeat or are null (ids of
+any type); further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,33 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ordered_id, stage, table
-from .hashing import U, Words
+from .blocks import by_part, kind_of, pack, pack_sorted, sliced, summed, unpack, unpack_sorted
+from .common import stage, table
+from .hashing import BASES, U, Words, left, mixed
 
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Words that are broadcast (a power of two), pairs in a partition, rows looked at together.
-HEAD, LOAD, SLICE = 1 << 20, 3_000_000, 4000
-#: Largest count in an entry.
-MOST = 65535
-
-
-def _slices(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, SLICE):
-            yield b.slice(i, SLICE)
+BACKOFF, ORDER = 0.4, 3
+#: Words that are broadcast (a power of two); words of the corpus per part of an n-gram table.
+HEAD, LOAD = 1 << 20, 1_500_000
+BITS = 20
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c): how often each word (its hash) occurs in the corpus."""
 
     def run(batches):
-        hasher = Words()
-        for b in _slices(batches):
-            h, _ = hasher.words(b.column(1).to_pylist())
+        hasher = Words(1)
+        for _, b in sliced(batches, 0):
+            h, _ = hasher.words(b.column(0))
             w, c = np.unique(h[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c, pa.int64())], ["w", "c"])
 
-    return docs.select("d", "text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 class Head:
@@ -70,143 +63,163 @@ class Head:
         i = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
         return np.where(self.w[i] == h, i, -1)
 
-    def lift(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Weight of pairs (numbers of two words, packed) counted so often; 0 below MIN_COUNT."""
-        c1, c2 = self.c[pair >> 20], self.c[pair & (HEAD - 1)]
-        return np.where(count >= MIN_COUNT, np.log(count / c1) - np.log(BACKOFF * c2 / self.total), 0.0)
-
-
-def _explode(batch, hasher: Words, head: Head):
-    """Of a batch: words' hashes, their numbers, their rows, and which follow a word of the same text."""
-    h, size = hasher.words(batch.column(2).to_pylist())
-    row = np.repeat(np.arange(len(size)), size)
-    follows = np.zeros(len(row), bool)
-    follows[1:] = row[1:] == row[:-1]
-    return h[0], head.place(h[0]), row, follows, size
-
-
-def _local(docs: DataFrame, shared) -> DataFrame:
-    """(d, t, n, s): each row's words and the weights that the broadcast words alone decide."""
-
-    def run(batches):
-        hasher, head = Words(), shared.value
-        for b in _slices(batches):
-            _, at, row, _, size = _explode(b, hasher, head)
-            own = at >= 0
-            s = np.bincount(row[own], np.log(head.c[at[own]] / head.total), len(size)) + np.log(BACKOFF) * np.maximum(size - 1, 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(s)], ["d", "t", "n", "s"])
-
-    return docs.mapInArrow(run, "d long, t long, n long, s double")
-
 
-def _packed(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """(part, ids, pairs, counts, rows, times): per batch and part, the sorted pairs of broadcast words and the rows they occur in."""
+def _numbered(docs: DataFrame, shared) -> DataFrame:
+    """(block, ids, sizes, words, rare): blocks of documents, each word as its number; numbers from HEAD on stand for the block's rare words, whose hashes it keeps."""
 
     def run(batches):
-        hasher, head = Words(), shared.value
-        for b in _slices(batches):
-            _, at, row, follows, _ = _explode(b, hasher, head)
-            i = np.flatnonzero(follows & (at >= 0) & np.append(False, at[:-1] >= 0))
-            pair = at[i - 1] << 20 | at[i]
-            # part first, then pair, then row; equal neighbours are counted
-            part = (pair.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)).astype(np.int64) % parts
-            order = np.lexsort((row[i], pair, part))
-            part, pair, at_row = part[order], pair[order], row[i][order]
-            new = np.append(True, (pair[1:] != pair[:-1]) | (at_row[1:] != at_row[:-1])) if len(pair) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(pair)))
-            part, pair, at_row = part[first], pair[first], at_row[first]
-            # a larger count than fits takes several entries
-            entries = (times + MOST - 1) // MOST
-            if (entries > 1).any():
-                last = np.cumsum(entries) - 1
-                rest = times - (entries - 1) * MOST
-                part, pair, at_row = (np.repeat(x, entries) for x in (part, pair, at_row))
-                times = np.full(len(pair), MOST)
-                times[last] = rest
-            edge = np.searchsorted(part, np.arange(parts + 1))
-            ids = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))])
-            out = []
-            for p in range(parts):
-                x = slice(edge[p], edge[p + 1])
-                if x.start == x.stop:
-                    continue
-                distinct, n = np.unique(pair[x], return_counts=True)
-                rows = np.unique(at_row[x])
-                out.append((p, ids[:, rows].tobytes(), distinct.tobytes(), n.astype(np.int32).tobytes(), np.searchsorted(rows, at_row[x]).astype(np.uint16).tobytes(), times[x].astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in range(1, 6))], ["part", "ids", "pairs", "counts", "rows", "times"])
-
-    return docs.mapInArrow(run, "part int, ids binary, pairs binary, counts binary, rows binary, times binary")
-
-
-def _joined(packed: DataFrame, shared) -> DataFrame:
-    """(d, t, n, s): of each part, the table of its pairs joined to where they occur, summed per row."""
-
-    def run(key, frame):
-        import pandas as pd
-
-        head = shared.value
-        unpack = lambda c, kind: [np.frombuffer(x, kind) for x in frame[c]]
-        pairs, counts, rows, times = unpack("pairs", np.int64), unpack("counts", np.int32), unpack("rows", np.uint16), unpack("times", np.uint16)
-        every = np.concatenate([np.add.reduceat(t.astype(np.int64), np.append(0, np.cumsum(c)[:-1])) for t, c in zip(times, counts)])
-        known, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        weight = head.lift(known, np.bincount(where, every))[where]
-        out, done = [], 0
-        for p, c, r, t, ids in zip(pairs, counts, rows, times, frame.ids):
-            two = np.frombuffer(ids, np.int64).reshape(2, -1)
-            s = np.bincount(r, np.repeat(weight[done : done + len(p)], c) * t, two.shape[1])
-            done += len(p)
-            some = s != 0
-            out.append(pd.DataFrame({"d": two[0][some], "t": two[1][some], "n": 0, "s": s[some]}))
-        return pd.concat(out)
-
-    return packed.groupBy("part").applyInPandas(run, "d long, t long, n long, s double")
-
-
-def _rest(docs: DataFrame, shared, words: DataFrame) -> DataFrame:
-    """(d, t, n, s): weights of the words that are not broadcast and of the pairs that hold one."""
+        hasher, head = Words(1), shared.value
+        for block, b in sliced(batches):
+            h, size = hasher.words(b.column(1))
+            known, where = np.unique(h[0], return_inverse=True)
+            number = head.place(known)
+            lone = np.flatnonzero(number < 0)
+            number[lone] = HEAD + np.arange(len(lone))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            binary = [pa.array([x], pa.binary()) for x in (pack(size), pack(number[where].astype(np.uint32)), known[lone].tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids, *binary], ["block", "ids", "sizes", "words", "rare"])
+
+    kind = kind_of(docs)
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{kind}>, sizes binary, words binary, rare binary")
+
+
+class Grams:
+    """The n-grams of a block."""
+
+    def __init__(self, head: Head, sizes: bytes, words: bytes, rare: bytes) -> None:
+        self.size, self.word = unpack(sizes, np.int64), unpack(words, np.uint32).astype(np.int64)
+        self.rare = np.frombuffer(rare, U)
+        self.head, self.ahead = head, left(self.size)
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+
+    def hashes(self) -> np.ndarray:
+        every = np.concatenate([self.head.w, np.zeros(HEAD - len(self.head.w), U), self.rare])
+        return every[self.word]
+
+    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n-grams that a table counts begin, and their keys. Of single words, only rare ones."""
+        if n == 1:
+            at = np.flatnonzero(self.word >= HEAD)
+            return at, self.rare[self.word[at] - HEAD] | U(1 << 63)
+        at = np.flatnonzero(self.ahead >= n)
+        if n <= 3:
+            key, lone = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            for j in range(n):
+                w = self.word[at + j]
+                key = key << BITS | w
+                lone |= w >= HEAD
+            key = key.view(U)
+        else:
+            key, lone = np.zeros(len(at), U), np.ones(len(at), bool)
+        if lone.any():
+            h, x = self.hashes(), np.zeros(int(lone.sum()), U)
+            for j in range(n):
+                x = x * BASES[0] + h[at[lone] + j]
+            key[lone] = mixed(x) | U(1 << 63)
+        return at, key
+
+
+def _asked(blocks: DataFrame, shared, order: int, parts: int) -> DataFrame:
+    """(n, part, block, keys, counts): distinct n-grams of each block and how often it has them."""
 
     def run(batches):
-        hasher, head = Words(), shared.value
-        for b in _slices(batches):
-            h, at, row, follows, _ = _explode(b, hasher, head)
-            lone = np.flatnonzero(at < 0)
-            i = np.flatnonzero(follows & ((at < 0) | np.append(False, at[:-1] < 0)))
-            w1 = np.concatenate([np.zeros(len(lone), np.int64), h[i - 1].view(np.int64)])
-            w2 = np.concatenate([h[lone], h[i]]).view(np.int64)
-            of = np.concatenate([row[lone], row[i]])
-            single = np.concatenate([np.ones(len(lone), bool), np.zeros(len(i), bool)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(single), pa.array(w1), pa.array(w2)], ["d", "t", "single", "w1", "w2"])
-
-    total = shared.value.total
-    found = docs.mapInArrow(run, "d long, t long, single boolean, w1 long, w2 long")
-    lone = found.where("single").join(words.select(F.col("w").alias("w2"), "c"), "w2").select("d", "t", F.lit(0).cast("long").alias("n"), F.log(F.col("c") / total).alias("s"))
-    often = found.where("NOT single").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")).where(F.col("c12") >= MIN_COUNT)
-    often = often.join(words.select(F.col("w").alias("w1"), F.col("c").alias("c1")), "w1").join(words.select(F.col("w").alias("w2"), F.col("c").alias("c2")), "w2")
-    often = often.select("w1", "w2", (F.log(F.col("c12") / F.col("c1")) - F.log(F.col("c2") * BACKOFF / total)).alias("s"))
-    pairs = found.where("NOT single").join(often, ["w1", "w2"]).select("d", "t", F.lit(0).cast("long").alias("n"), "s")
-    return lone.unionByName(pairs)
-
-
-def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
+        for b in batches:
+            for block, sizes, words, rare in zip(*(b.column(i).to_pylist() for i in range(4))):
+                grams = Grams(shared.value, sizes, words, rare)
+                for n in range(1, order + 1):
+                    keys, counts = np.unique(grams.keys(n)[1], return_counts=True)
+                    place, edge = by_part(keys, parts)
+                    keys, counts = keys[place], counts[place].astype(np.uint32)
+                    full = np.flatnonzero(np.diff(edge)).tolist()
+                    cut = [slice(edge[p], edge[p + 1]) for p in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([pack_sorted(keys[c]) for c in cut], pa.binary()), pa.array([pack(counts[c]) for c in cut], pa.binary())],
+                        ["n", "part", "block", "keys", "counts"],
+                    )
+
+    return blocks.select("block", "sizes", "words", "rare").mapInArrow(run, "n int, part int, block long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(block, n, part, counts): how often the corpus has the n-grams, in the order in which a block asks for them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        counts = summed([unpack_sorted(x) for x in rows["keys"].to_pylist()], [unpack(x, np.uint32).astype(np.int64) for x in rows["counts"].to_pylist()])
+        return pa.table([rows["block"], rows["n"], rows["part"], pa.array([pack(c) for c in counts], pa.binary())], ["block", "n", "part", "counts"])
+
+    return asked.groupBy("n", "part").applyInArrow(run, "block long, n int, part int, counts binary")
+
+
+def _rest(key: np.ndarray, row: np.ndarray, corpus) -> np.ndarray:
+    """Of every n-gram, how often the corpus has it outside its document. ``corpus`` gives the counts of the sorted distinct keys."""
+    order = np.argsort(key, kind="stable")  # keeps the documents of equal keys together
+    k, r = key[order], row[order]
+    if not len(k):
+        return np.zeros(0, np.int64)
+    new = np.append(True, k[1:] != k[:-1])
+    first = np.flatnonzero(new | np.append(True, r[1:] != r[:-1]))
+    own = np.repeat(np.diff(np.append(first, len(k))), np.diff(np.append(first, len(k))))
+    out = np.empty(len(k), np.int64)
+    out[order] = corpus(k[new])[np.cumsum(new) - 1] - own
+    return out
+
+
+def _log_scores(grams: Grams, counted: dict[int, np.ndarray], order: int, parts: int) -> np.ndarray:
+    """The log score of each document of a block; ``counted`` has, by n, the tables' answers part by part."""
+    head, words = grams.head, len(grams.word)
+    rest = np.zeros((order + 1, words), np.int64)  # by the place of the last word
+
+    def answers(n: int):
+        def of(keys: np.ndarray) -> np.ndarray:
+            out = np.empty(len(keys), np.int64)
+            out[by_part(keys, parts)[0]] = counted[n]
+            return out
+
+        return of
+
+    common = np.flatnonzero(grams.word < HEAD)
+    rest[1, common] = _rest(grams.word[common].view(U), grams.row[common], lambda k: head.c[k.astype(np.int64)])
+    for n in range(1, order + 1):
+        at, key = grams.keys(n)
+        rest[n, at + n - 1] = _rest(key, grams.row[at], answers(n))
+    others = np.maximum(head.total - grams.size, 1)[grams.row]
+    possible = np.minimum(np.arange(words) - (np.cumsum(grams.size) - grams.size)[grams.row] + 1, order)
+    value = np.log(BACKOFF) * possible - np.log(others)
+    for n in range(1, order + 1):
+        seen = np.flatnonzero(rest[n] > 0)
+        given = others[seen] if n == 1 else rest[n - 1, seen - 1]
+        value[seen] = np.log(rest[n, seen] / given) + np.log(BACKOFF) * (possible[seen] - n)
+    return np.bincount(grams.row, value, len(grams.size))
+
+
+def score(docs: DataFrame, head_words: int = HEAD, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score and mean_score (per word) of each row."""
-    kind = docs.schema["doc_id"].dataType
-    own = docs.select(ordered_id().alias("d"), F.xxhash64("text").alias("t"), "text")
-    words = stage(lambda: word_counts(own.select("d", "text")))
-    total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    words = stage(lambda: word_counts(docs))
+    total = words.agg(F.sum("c")).first()[0] or 0
     top = words.orderBy(F.desc("c"), "w").limit(min(head_words, HEAD)).toArrow()  # HEAD rows at most
     head = Head(top.column("w").to_numpy().view(U), top.column("c").to_numpy(), int(total))
+    del top
     shared = docs.sparkSession.sparkContext.broadcast(head)
-    parts = max(8, int(total) // LOAD + 1)
-    sums = _local(own, shared).unionByName(_joined(_packed(own, shared, parts), shared))
-    if distinct > len(head.w):
-        sums = sums.unionByName(_rest(own, shared, words))
-    # equal rows add up to one sum, which they share
-    rows = own.groupBy("d", "t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = sums.groupBy("d", "t").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(rows, ["d", "t"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    out = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")).withColumn("n", (F.col("n") / F.col("copies")).cast("long")).withColumn("s", F.col("s") / F.col("copies"))
-    doc_id = F.when(F.col("d") != F.lit(9223372036854775807), F.col("d")).cast(kind)
-    return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_words"), F.round("s", 6).alias("log_score"), F.when(F.col("n") > 0, F.round(F.col("s") / F.col("n"), 6)).alias("mean_score"))
+    parts = max(64, int(total) // LOAD + 1)
+    blocks = stage(lambda: _numbered(docs, shared))
+    answers = _answered(_asked(blocks, shared, order, parts))
+    kind = kind_of(docs)
+    both = blocks.selectExpr("block", "0 AS n", "0 AS part", "ids", "sizes", "words", "rare").unionByName(
+        answers.selectExpr("block", "n", "part", f"CAST(NULL AS array<{kind}>) AS ids", "counts AS sizes", "CAST(NULL AS binary) AS words", "CAST(NULL AS binary) AS rare")
+    )
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n", "ascending"), ("part", "ascending")])
+        own, counted = rows.slice(0, 1).to_pydict(), {n: [np.zeros(0, np.int64)] for n in range(1, order + 1)}
+        for n, raw in zip(rows["n"].to_pylist()[1:], rows["sizes"].to_pylist()[1:]):
+            counted[n].append(unpack(raw, np.int64))
+        grams = Grams(shared.value, own["sizes"][0], own["words"][0], own["rare"][0])
+        scores = _log_scores(grams, {n: np.concatenate(x) for n, x in counted.items()}, order, parts)
+        ids = rows["ids"].combine_chunks()
+        return pa.table([ids.slice(0, 1).flatten(), pa.array(grams.size), pa.array(scores)], ["doc_id", "n_words", "s"])
+
+    out = both.groupBy("block").applyInArrow(run, f"doc_id {kind}, n_words long, s double")
+    return out.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("mean_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +229,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w2, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS w1 FROM d WHERE len(w) > 0),
-u AS (SELECT w2 AS w, count(*) AS c FROM t GROUP BY 1),
+t AS (
+  SELECT doc_id, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] END AS w1
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT count(*) AS n FROM t),
-b AS (SELECT w1, w2, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+own AS (SELECT doc_id, count(*) AS k FROM t GROUP BY doc_id),
+d1 AS (SELECT doc_id, w3, count(*) AS c FROM t GROUP BY ALL),
+c1 AS (SELECT w3, sum(c) AS c FROM d1 GROUP BY ALL),
+d2 AS (SELECT doc_id, w2, w3, count(*) AS c FROM t WHERE i > 1 GROUP BY ALL),
+c2 AS (SELECT w2, w3, sum(c) AS c FROM d2 GROUP BY ALL),
+d3 AS (SELECT doc_id, w1, w2, w3, count(*) AS c FROM t WHERE i > 2 GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, sum(c) AS c FROM d3 GROUP BY ALL),
+r1 AS (SELECT doc_id, w3, c1.c - d1.c AS c FROM d1 JOIN c1 USING (w3)),
+r2 AS (SELECT doc_id, w2, w3, c2.c - d2.c AS c FROM d2 JOIN c2 USING (w2, w3)),
+r3 AS (SELECT doc_id, w1, w2, w3, c3.c - d3.c AS c FROM d3 JOIN c3 USING (w1, w2, w3)),
+v AS (
+  SELECT t.doc_id, greatest(n.n - own.k, 1) AS n, own.k, least(i, 3) AS possible, r3.c AS c3, r2.c AS c2, r1.c AS c1, g2.c AS g2, g1.c AS g1
+  FROM t CROSS JOIN n JOIN own USING (doc_id) JOIN r1 ON r1.doc_id = t.doc_id AND r1.w3 = t.w3
+  LEFT JOIN r2 ON r2.doc_id = t.doc_id AND r2.w2 = t.w2 AND r2.w3 = t.w3
+  LEFT JOIN r3 ON r3.doc_id = t.doc_id AND r3.w1 = t.w1 AND r3.w2 = t.w2 AND r3.w3 = t.w3
+  LEFT JOIN r2 g2 ON g2.doc_id = t.doc_id AND g2.w2 = t.w1 AND g2.w3 = t.w2
+  LEFT JOIN r1 g1 ON g1.doc_id = t.doc_id AND g1.w3 = t.w2),
 s AS (
-  SELECT doc_id, count(*) AS k, sum(CASE WHEN t.w1 IS NULL THEN ln(u2.c / n.n) WHEN b.c IS NOT NULL THEN ln(b.c / u1.c) ELSE ln(0.4::DOUBLE * u2.c / n.n) END) AS s
-  FROM t CROSS JOIN n JOIN u u2 ON u2.w = t.w2 LEFT JOIN u u1 ON u1.w = t.w1 LEFT JOIN b ON b.w1 = t.w1 AND b.w2 = t.w2 GROUP BY doc_id)
+  SELECT doc_id, any_value(k) AS k, sum(CASE
+    WHEN c3 > 0 THEN ln(c3 / g2)
+    WHEN c2 > 0 THEN ln(c2 / g1) + (possible - 2) * ln(0.4::DOUBLE)
+    WHEN c1 > 0 THEN ln(c1 / n) + (possible - 1) * ln(0.4::DOUBLE)
+    ELSE possible * ln(0.4::DOUBLE) - ln(n) END) AS s FROM v GROUP BY doc_id)
 SELECT doc_id, coalesce(k, 0)::BIGINT AS n_words, round(coalesce(s, 0::DOUBLE), 6) AS log_score, round(s / k, 6) AS mean_score
 FROM d LEFT JOIN s USING (doc_id)
 """

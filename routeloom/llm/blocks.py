@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .hashing import U, mixed
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -48,7 +48,7 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(block, rows): the rows of a task in blocks of at most ``most`` bytes of the text in ``column``."""
-    block = TaskContext.get().partitionId() << 32
+    block = TaskContext.get().partitionId() << 16
     for b in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)) if b.num_rows else np.zeros(0, np.int64)
         i, before = 0, 0
@@ -59,8 +59,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BLOCK
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key. Neighbours, up to 256, go to one part, so that their differences are small there."""
-    return (mixed(keys >> U(8)) % U(parts)).astype(np.int32)
+    """The part of each key. Neighbours, up to 1024, go to one part, so that their differences are small there."""
+    return (mixed(keys >> U(10)) % U(parts)).astype(np.int32)
 
 
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:

@@ -38,13 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(make: Callable[[], DataFrame]) -> DataFrame:
-    """cut() of what ``make`` returns. Nothing else holds that frame, so the shuffle files that led to it are given back at once."""
+def collect_garbage(spark: SparkSession) -> None:
+    """Give back the shuffle files and checkpoints that nothing refers to any more; Spark learns of them from its driver's garbage collection."""
     import gc
 
-    out = cut(make())
     gc.collect()
-    out.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
+
+
+def stage(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut() of what ``make`` returns. Nothing else holds that frame, so the shuffle files that led to it are given back at once."""
+    out = cut(make())
+    collect_garbage(out.sparkSession)
     return out
 
 

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import by_part, kind_of, pack, pack_sorted, sliced, summed, unpack, unpack_sorted
-from .common import stage, table
+from .common import collect_garbage, stage, table
 from .hashing import BASES, U, Words, left, mixed
 
 BACKOFF, ORDER = 0.4, 3
 #: Words that are broadcast (a power of two); words of the corpus per part of an n-gram table.
-HEAD, LOAD = 1 << 20, 1_500_000
+HEAD, LOAD = 1 << 20, 3_000_000
 BITS = 20
 
 
@@ -50,18 +50,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The most frequent words: sorted hashes and counts."""
+    """The most frequent words, numbered from the most frequent on: sorted hashes with their numbers, and counts by number."""
 
     def __init__(self, w: np.ndarray, c: np.ndarray, total: int) -> None:
-        order = np.argsort(w)
-        self.w, self.c, self.total = w[order], c[order], total
+        self.total, self.c, self.by_number = total, c, w
+        self.number = np.argsort(w)
+        self.w = w[self.number]
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """Number of each word, -1 where it is none of these."""
         if not len(self.w):
             return np.full(len(h), -1, np.int64)
         i = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
-        return np.where(self.w[i] == h, i, -1)
+        return np.where(self.w[i] == h, self.number[i], -1)
 
 
 def _numbered(docs: DataFrame, shared) -> DataFrame:
@@ -93,7 +94,7 @@ class Grams:
         self.row = np.repeat(np.arange(len(self.size)), self.size)
 
     def hashes(self) -> np.ndarray:
-        every = np.concatenate([self.head.w, np.zeros(HEAD - len(self.head.w), U), self.rare])
+        every = np.concatenate([self.head.by_number, np.zeros(HEAD - len(self.head.w), U), self.rare])
         return every[self.word]
 
     def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,8 @@ def score(docs: DataFrame, head_words: int = HEAD, order: int = ORDER) -> DataFr
     total = words.agg(F.sum("c")).first()[0] or 0
     top = words.orderBy(F.desc("c"), "w").limit(min(head_words, HEAD)).toArrow()  # HEAD rows at most
     head = Head(top.column("w").to_numpy().view(U), top.column("c").to_numpy(), int(total))
-    del top
+    del top, words  # their table is given back
+    collect_garbage(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(head)
     parts = max(64, int(total) // LOAD + 1)
     blocks = stage(lambda: _numbered(docs, shared))

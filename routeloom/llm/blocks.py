@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .hashing import U, mixed
+from .hashing import U, mixed, raw
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -84,3 +85,23 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]
 
 def kind_of(docs: DataFrame, column: str = "doc_id") -> str:
     return docs.schema[column].dataType.simpleString()
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, marks, sizes, data, load): blocks of documents with the hashes and bytes of their texts."""
+
+    def run(batches):
+        for block, b in sliced(batches):
+            data, offsets = raw(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            binary = [pa.array([x], pa.binary()) for x in (pack(np.asarray(b.column(2))), pack(np.diff(offsets)), zstandard.ZstdCompressor(level=3).compress(data.tobytes()))]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids, *binary, pa.array([len(data)], pa.int64())], ["block", "ids", "marks", "sizes", "data", "load"])
+
+    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return kept.mapInArrow(run, f"block long, ids array<{kind_of(docs)}>, marks binary, sizes binary, data binary, load long")
+
+
+def texts_of(sizes: bytes, data: bytes) -> tuple[bytes, np.ndarray, pa.Array]:
+    """Bytes of a block's texts, where each begins and the last ends, and the texts."""
+    data, edge = zstandard.ZstdDecompressor().decompress(data), np.append(0, np.cumsum(unpack(sizes, np.int64)))
+    return data, edge, pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data)])

@@ -26,33 +26,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import by_part, kind_of, pack, pack_sorted, part_of, sliced, summed, unpack, unpack_sorted
+from .blocks import by_part, kind_of, pack, pack_sorted, part_of, summed, text_blocks, texts_of, unpack, unpack_sorted
 from .common import stage, table
-from .hashing import BASES, U, Words, left, raw, rolling, sliding
+from .hashing import BASES, U, Words, left, rolling, sliding
 
 WINDOW, GRAM = 20, 8
 #: Bytes of the corpus per part of the tables of anchors and windows.
 LOAD = 12_000_000
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, marks, sizes, data, load): blocks of documents with the hashes and bytes of their texts."""
-
-    def run(batches):
-        for block, b in sliced(batches):
-            data, offsets = raw(b.column(1))
-            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            binary = [pa.array([x], pa.binary()) for x in (pack(np.asarray(b.column(2))), pack(np.diff(offsets)), zstandard.ZstdCompressor(level=3).compress(data.tobytes()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids, *binary, pa.array([len(data)], pa.int64())], ["block", "ids", "marks", "sizes", "data", "load"])
-
-    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return kept.mapInArrow(run, f"block long, ids array<{kind_of(docs)}>, marks binary, sizes binary, data binary, load long")
-
-
 def _sequence(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
     """Place of each document in the order of ids and text hashes; equal ones have the same."""
     rank = np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64)
@@ -67,9 +52,7 @@ class Block:
     """Texts of a block, their words' hashes and their windows."""
 
     def __init__(self, sizes: bytes, data: bytes, window: int, gram: int, kinds: int = 2) -> None:
-        size = unpack(sizes, np.int64)
-        self.data, self.edge = zstandard.ZstdDecompressor().decompress(data), np.append(0, np.cumsum(size))
-        texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(self.edge.tobytes()), pa.py_buffer(self.data)])
+        self.data, self.edge, texts = texts_of(sizes, data)
         self.h, self.size = Words(kinds).words(texts)
         self.window, self.gram = window, gram
 
@@ -193,7 +176,7 @@ def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row; with ``texts`` also the kept text and the removed intervals."""
-    blocks = stage(lambda: _blocks(docs))
+    blocks = stage(lambda: text_blocks(docs))
     parts = max(64, (blocks.agg(F.sum("load")).first()[0] or 0) // LOAD)
     shared = stage(lambda: _shared_anchors(blocks, window, gram, parts))
     firsts = stage(lambda: _first_windows(blocks, shared, window, gram, parts))

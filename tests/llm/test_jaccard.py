@@ -1,19 +1,23 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from routeloom.llm import jaccard as j
 
 
-def test_t_occurrence_equals_counting():
+def test_occurring_equals_counting(monkeypatch):
     rnd = random.Random(2)
-    for _ in range(300):
-        lists = [sorted(rnd.sample(range(20), rnd.randrange(0, 12))) for _ in range(rnd.randrange(1, 12))]
-        lists = [x for x in lists if x] or [[1]]
-        for t in (1, 2, len(lists) // 2, len(lists)):
-            want = sorted((x, c) for x in range(20) if (c := sum(x in s for s in lists)) >= max(t, 1))
-            if t > 0:
-                assert sorted(j.t_occurrence(lists, t)) == want
+    for k in range(300):
+        monkeypatch.setattr(j, "HEAP", rnd.choice([0, 5, 2000]))
+        monkeypatch.setattr(j, "MU", rnd.choice([0.001, 0.3]))
+        sets = [np.array(sorted(rnd.sample(range(30), rnd.randrange(0, 20))), np.uint64) for _ in range(rnd.randrange(0, 12))]
+        index = j.Index(sets, np.array([len(s) for s in sets], np.int64))
+        own = np.array(sorted(rnd.sample(range(30), rnd.randrange(1, 20))), np.uint64)
+        for t in (1, 2, len(own) // 2 + 1, len(own)):
+            want = [(i, c) for i, s in enumerate(sets) if (c := len(set(s.tolist()) & set(own.tolist()))) >= t]
+            assert list(zip(*(x.tolist() for x in index.occurring(own, t)))) == want
 
 
 def shingles(text):
@@ -23,14 +27,23 @@ def shingles(text):
 
 
 def brute(rows):
-    s = {i: shingles(t) for i, t in rows}
-    comp = {i: i for i in s}
-    for _ in s:
-        for a in s:
-            for b in s:
-                if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-    return {i: (len(s[i]), comp[i]) for i in s}
+    """(id, set size, smallest id reachable, links to other sets) of each row, sorted as text."""
+    s = [shingles(t) for _, t in rows]
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    near, out = [[k for k, b in enumerate(s) if alike(a, b)] for a in s], []
+    for i, (doc, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [k for k in near[todo.pop()] if k not in seen]
+            seen.update(new)
+            todo += new
+        ids = [rows[k][0] for k in seen if rows[k][0] is not None]
+        out.append((str(doc), len(s[i]), str(min(ids) if ids else None), len({frozenset(s[k]) for k in near[i] if s[k] != s[i]})))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in j.join(df).collect())
 
 
 def corpus(seed):
@@ -47,27 +60,59 @@ def corpus(seed):
     return rows + [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A b"), (6, "a b c")]
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2):
-        rows = corpus(seed)
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.join(df).collect()} == brute(rows)
-
-
-def test_no_rounds_finds_the_same(spark):
-    rows = corpus(3)
+@pytest.mark.parametrize(("seed", "load"), [(1, None), (2, 40), (3, 300)])
+def test_against_brute_force(spark, monkeypatch, seed, load):
+    if load:  # cells of several parts, and queries in several chunks
+        monkeypatch.setattr(j, "LOAD", load)
+        monkeypatch.setattr(j, "QUERY_LOAD", 2 * load)
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    assert found(df.repartition(5)) == brute(rows)
+
+
+def test_the_search_merges_and_bisects(spark, monkeypatch):
+    """On the rows that Spark deals to a part, lists are merged with a heap and long ones bisected."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rnd.randrange(80)] = f"x{i % 7}"
+        rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    of_class, _, linked = j.links(df, rounds=0)
-    comp = {r.node: r.component for r in linked.collect()}
-    want = brute(rows)
-    assert {r.d: comp.get(r.r, r.r) for r in of_class.collect() if r.n} == {i: c for i, (n, c) in want.items() if n}
+    blocks = j.stage(lambda: j.text_blocks(df))
+    members = j.stage(lambda: j._members(blocks))
+    classes = j.stage(lambda: members.groupBy("c", "c2", "n").agg(F.min("row").alias("r"), F.min("doc_id").alias("doc_id")))
+    sets = j._survivors(blocks, classes, j._shared(blocks, classes, 8), 80, 8).selectExpr("r", "n", "s", "1 AS indexed", "1 AS asks").toArrow()
+    links, degree, work = j._search(sets, 80)
+    assert work[0] > 100 and work[2] > 1000 and len(links) == classes.count() - 1
+    assert found(df) == brute(rows)
 
 
 def test_edges(spark):
     text = " ".join(f"t{i}" for i in range(40))
-    df = spark.createDataFrame([(None, text, "x"), (9, text, "x"), (9, text, "x"), (None, "alone", "x"), (None, None, "x")], "doc_id long, text string, component string")
-    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in j.join(df).collect())
-    assert out == [("9", 36, "9"), ("9", 36, "9"), ("None", 0, "None"), ("None", 1, "None"), ("None", 36, "9")]
-    assert j.join(df.limit(0)).count() == 0
+    near = text.replace("t0 ", "q0 ")
+    rows = [(None, text), (9, text), (9, text), (None, "alone here"), (None, None), (9, "one two three four five six"), (5, near), (None, "alone HERE"), (None, " ".join(f"n{i}" for i in range(30)))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component string, row int")
+    assert found(df) == brute(rows)
+    kept = [(r.doc_id, r.text) for r in j.first_of_each(df).collect()]
+    # of the two copies with a null id one stays, that with the smaller hash of its text
+    assert {(i, t.lower() if t else t) for i, t in kept} == {(5, near), (9, rows[5][1]), (None, None), (None, "alone here"), (None, rows[8][1])} and len(kept) == 5
+    assert j.first_of_each(df).columns == df.columns
+    assert found(df.limit(0)) == []
     assert j.required(10) == 8 and j.overlap(10, 10) == 9
-    assert np.all(j.search({1: np.arange(10, dtype=np.uint64)}, {2: np.arange(9, dtype=np.uint64)}) == [(2, 1)])
+
+
+@pytest.mark.parametrize(("kind", "rows"), [("string", [("10", "a b c d e f"), ("9", "a b c d e F"), ("é", "z")]), ("smallint", [(2, "a b"), (1, "A b")])])
+def test_any_id(spark, kind, rows):
+    assert found(spark.createDataFrame(rows, f"doc_id {kind}, text string")) == brute(rows)
+
+
+def test_very_long_and_hot(spark):
+    rnd = random.Random(1)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"v{i}"] + base[31:])) for i in range(150)] + [(i, " ".join(base)) for i in range(200, 260)]
+    long = [str(rnd.randrange(9)) for _ in range(30_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:-2])), (1002, "w" * 300_000), (1003, "a " * 40_000)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)

@@ -1,88 +1,114 @@
 """Line dedup: lines equal or nearly equal to an earlier line of the corpus are removed.
 
-Two lines are nearly equal when their edit distance is at most DISTANCE and the
-longer has MIN_CHARS characters or more; shorter lines must be equal. A line is
-removed when an equal or nearly equal line comes earlier: in a document with a
-smaller id, or further up in its own. Lines without a word stay.
-
-Nearly equal lines are found by a segment-partition join. A line of length n is
-split into DISTANCE + 1 segments, one of which any line within DISTANCE must
-contain unchanged; it is looked up among the other line's substrings at the
+Two lines are nearly equal when the edit distance of their words (the fewest
+words to insert, delete or replace) is at most what LEVELS allows for the number
+of words of the longer one; lines of fewer words must be equal. A line is removed
+when an equal or nearly equal line comes earlier: in a document with a smaller
+id, or further up in its own. Lines without a word stay.
+
+Nearly equal lines are found by a segment-partition join. For distance t, a line
+of n words is split into t + 1 segments, one of which any line within t must
+contain unchanged; it is looked up among the other line's runs of words at the
 places and for the lengths that the distance allows (multi-match-aware
-selection), as hashes of (length, segment, text). Candidate pairs are verified
-by the banded bit-parallel edit distance, on what is left of both lines without
-their common beginning and end. All of it is DataFrame expressions.
+selection), as hashes of (t, length, segment, words). Only distinct lines take
+part, so copies make no pairs.
 
-Only distinct lines take part in the join, so copies make no pairs.
+Lines that share a key are first compared with the earliest of them alone, which
+settles a group of near copies in as many pairs as it has lines. Lines without
+an earlier partner so far then meet the other lines of their keys, as far as
+bitmaps of their words allow the distance. Pairs are verified by the banded
+bit-parallel edit distance, on what is left of both lines without their common
+beginning and end. All of it is DataFrame expressions.
 
 Defined results: a null or empty text has no lines with a word and stays as it
-is; a null doc_id comes after all others; rows that share a doc_id count as one
-document, and what is removed from any of them is removed from each; further
-columns are ignored by ``dedup`` and kept by ``clean``; an empty table gives an
-empty result.
+is; ids may be of any type that sorts, a null doc_id comes after all others;
+rows with equal id and equal text are one document; of different texts under one
+id (or null ids), which are documents of their own, the one with the smaller hash
+comes first; further columns are ignored by ``dedup`` and kept by ``clean``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ordered_id, stage, table
+from .common import SPACE, stage, table
 
-DISTANCE, MIN_CHARS = 2, 24
+#: (words of the longer line, distance that is allowed from there on).
+LEVELS = ((10, 1), (20, 2))
 #: Line ids that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST_IDS = 300_000
-#: Lines of a document are fewer.
-PLACES = 1 << 31
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+MASK = (1 << 31) - 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(d, place, x): every line with a word."""
-    every = docs.select(ordered_id().alias("d"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "x"))
-    return every.where(F.length(F.translate("x", BLANKS, "")) > 0)
+    """(doc_id, mark, place, x): every line with a word; mark is the hash of its text."""
+    every = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "x"))
+    return every.where(F.length(F.btrim("x", F.lit(BLANKS))) > 0)
 
 
-def occurrence() -> Column:
-    return (F.col("d").cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("place")).cast("decimal(31,0)")
+def occurrence(docs: DataFrame) -> Column:
+    """What orders lines: id (null last), hash of the text, place. A number for whole ids, so that its least can be kept by hash aggregation."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        whole = lambda c: F.col(c).bitwiseAND(F.lit(MASK)).cast("decimal(10,0)") if c == "mark" else F.col(c).cast("decimal(10,0)")
+        number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+        step = lambda x, y: (x * F.lit(MASK + 1).cast("decimal(10,0)") + y).cast("decimal(38,0)")
+        return step(step(number, whole("mark")), whole("place"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "place")
 
 
-def _edge(n: Column, i: int, parts: int) -> Column:
-    """Where segment i begins (from 0) in a line of n characters."""
-    return F.floor(n * i / parts).cast("int")
-
-
-def _key(x: Column, n: Column, i: int, start: Column, size: Column) -> Column:
-    """Hash of a line's length, a segment's number and the text of the line from start (from 0)."""
-    return F.xxhash64(n, F.lit(i), F.substring(x, start + 1, size))
+def words_of(x: Column) -> Column:
+    return F.split(F.btrim(x, F.lit(BLANKS)), SPACE)
 
 
-def index_keys(x: Column, distance: int) -> Column:
-    """Keys of a line's own segments."""
-    n, parts = F.length(x), distance + 1
-    return F.array(*[_key(x, n, i, _edge(n, i, parts), _edge(n, i + 1, parts) - _edge(n, i, parts)) for i in range(parts)])
+def allowed(n: Column, levels=LEVELS) -> Column:
+    """Distance for a longer line of n words."""
+    out = F.lit(0)
+    for least, t in levels:
+        out = F.when(n >= least, t).otherwise(out)
+    return out
 
 
-def probe_keys(x: Column, distance: int, min_chars: int = 0) -> Column:
-    """Keys of the substrings that may be a segment of a line as long as this one or shorter by up to ``distance``; nulls where there is none."""
-    n, parts, out = F.length(x), distance + 1, []
-    for less in range(distance + 1):
-        m = n - less
-        for i in range(parts):
-            at, size = _edge(m, i, parts), _edge(m, i + 1, parts) - _edge(m, i, parts)
-            for shift in range(max(-i, less - (distance - i)), min(i, less + (distance - i)) + 1):
-                start = at + shift
-                out.append(F.when((n >= min_chars) & (start >= 0) & (start + size <= n), _key(x, m, i, start, size)))
-    return F.array(*out)
+def _edge(n: Column, i: int, parts: int) -> Column:
+    """Where segment i begins (from 0) in a line of n words."""
+    return F.floor(n * i / parts).cast("int")
 
 
-def candidates(distinct: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): ids of distinct lines (id, x) that share a segment where the distance allows it; a is not shorter than b."""
-    # the same condition below both sides, so that the distinct lines are shuffled once
-    both = distinct.where(F.length("x") >= min_chars - distance)
-    index = both.select(F.col("id").alias("b"), F.explode(index_keys(F.col("x"), distance)).alias("k"))
-    probe = both.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("x"), distance, min_chars)).alias("k")).where("k IS NOT NULL")
-    return probe.join(index, "k").where("a <> b").select("a", "b").distinct()
+def _key(w: Column, t: int, n: Column, i: int, start: Column, size: Column) -> Column:
+    """Hash of a distance, a line's length, a segment's number and the words of the line from start (from 0)."""
+    return F.xxhash64(n, F.lit(i * 64 + t), F.slice(w, start + 1, size))
+
+
+def index_keys(w: Column, levels=LEVELS) -> Column:
+    """Keys of a line's own segments, for every distance that a partner of this length or longer may have."""
+    n, out = F.size(w), []
+    for k, (least, t) in enumerate(levels):
+        last = levels[k + 1][0] - 1 if k + 1 < len(levels) else None
+        own = F.array(*[_key(w, t, n, i, _edge(n, i, t + 1), _edge(n, i + 1, t + 1) - _edge(n, i, t + 1)) for i in range(t + 1)])
+        fits = n >= least - t if last is None else (n >= least - t) & (n <= last)
+        out.append(F.when(fits, own).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*out)
+
+
+def probe_keys(w: Column, levels=LEVELS) -> Column:
+    """Keys of the runs of words that may be a segment of a line as long as this one or shorter, by its distance at most; nulls where there is none. All keys of index_keys() are among them."""
+    n, keys = F.size(w), F.array().cast("array<bigint>")
+    for least, t in levels:
+        out = []
+        for less in range(t + 1):
+            m = n - less
+            for i in range(t + 1):
+                at, size = _edge(m, i, t + 1), _edge(m, i + 1, t + 1) - _edge(m, i, t + 1)
+                for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
+                    start = at + shift
+                    key = _key(w, t, m, i, start, size)
+                    out.append(key if shift == 0 else F.when((start >= 0) & (start + size <= n), key))
+        own = F.array(*[_key(w, t, n, i, _edge(n, i, t + 1), _edge(n, i + 1, t + 1) - _edge(n, i, t + 1)) for i in range(t + 1)])
+        keys = F.when(n >= least, F.array(*out)).when(n >= least - t, F.concat(keys, own)).otherwise(keys)
+    return keys
 
 
 def let(value: Column, then) -> Column:
@@ -90,18 +116,18 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common beginning, by doubling; of very long ones, a part."""
-    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.length(a)) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s)), p + s).otherwise(p))
+def same_beginning(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the first on."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return let(other, lambda p: F.when(p == 0, F.size(a)).otherwise(p - 1).cast("int"))
 
 
 def banded_distance(p: Column, q: Column, distance: int) -> Column:
-    """Edit distance of two arrays of characters if it is at most ``distance``, or else something larger.
+    """Edit distance of two arrays if it is at most ``distance``, or else something larger.
 
     p is not shorter than q, by ``distance`` at most, and longer than
     ``distance``. Bits 0 to 2 * distance stand for the rows of the band around
-    the diagonal, which moves down by one row with every character of q.
+    the diagonal, which moves down by one row with every element of q.
     """
     width, full = 2 * distance + 1, (1 << (2 * distance + 1)) - 1
     n = F.size(p)
@@ -133,82 +159,119 @@ def banded_distance(p: Column, q: Column, distance: int) -> Column:
 
 
 def is_near(a: Column, b: Column, distance: int) -> Column:
-    """Whether lines a (not shorter) and b are within the distance: exactly the banded distance of what their common beginning and end leave.
+    """Whether arrays a (not shorter) and b are within the distance: exactly the banded distance of what their common beginning and end leave.
 
     All steps are bound by lambdas, since the optimizer would put an alias's
     expression wherever its name stands, also within the loops.
     """
 
+    def rest(v: Column, then) -> Column:
+        """``then`` of both arrays, turned round, without their common beginning."""
+        cut = lambda x, k: F.reverse(F.slice(x, k + 1, F.size(x) - k))
+        return let(same_beginning(v["a"], v["b"]), lambda k: let(F.struct(cut(v["a"], k).alias("a"), cut(v["b"], k).alias("b")), then))
+
     def decide(v: Column) -> Column:
-        n, m = F.length(v["a"]), F.length(v["b"])
-        return (
-            F.when(n <= distance, True)
-            .when(n - m > distance, False)
-            .when(m == 0, n <= distance)
-            .otherwise(let(F.struct(F.split(v["a"], "").alias("a"), F.split(v["b"], "").alias("b")), lambda z: banded_distance(z["a"], z["b"], distance) <= distance))
-        )
+        n, m = F.size(v["a"]), F.size(v["b"])
+        return F.when(n <= distance, True).when((n - m > distance) | (m == 0), False).otherwise(banded_distance(v["a"], v["b"], distance) <= distance)
 
-    def ends(u: Column) -> Column:
-        tail = common_prefix(u["b"], u["a"])
-        return let(tail, lambda k: let(F.struct(F.substring(u["a"], k + 1, F.length(u["a"])).alias("a"), F.substring(u["b"], k + 1, F.length(u["b"])).alias("b")), decide))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda u: rest(u, lambda v: rest(v, decide)))
 
-    return let(common_prefix(b, a), lambda k: let(F.struct(F.reverse(F.substring(a, k + 1, F.length(a))).alias("a"), F.reverse(F.substring(b, k + 1, F.length(b))).alias("b")), ends))
 
+def within(pairs: DataFrame, levels=LEVELS) -> DataFrame:
+    """Of rows with words wa (not fewer) and wb, those within the distance that the number of words allows."""
+    t = allowed(F.size("wa"), levels)
+    near = F.lit(False)
+    for _, d in levels:
+        near = F.when(t == d, is_near(F.col("wa"), F.col("wb"), d)).otherwise(near)
+    return pairs.where((F.size("wa") - F.size("wb") <= t) & near)
 
-def within(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Of rows with lines xa (not shorter) and xb, those within the distance."""
-    return pairs.where(is_near(F.col("xa"), F.col("xb"), distance))
 
+def bitmap(w: Column) -> Column:
+    """64 bits, set by words."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
 
-def near_pairs(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(xa, fa, xb, fb): distinct lines that are nearly equal, each with its first occurrence."""
-    own = lines(docs)
-    found = stage(lambda: candidates(own.select("x").distinct().withColumn("id", F.xxhash64("x")), distance, min_chars))
-    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+
+def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
+    """(h1, h2): hashes of the distinct lines that have a nearly equal line (not an equal one) before them."""
+    own, shortest = lines(docs), levels[0][0] - levels[0][1]
+    f = occurrence(docs)
+    # the same plan below both sides, so that the distinct lines are shuffled once
+    distinct = own.groupBy("x").agg(F.min(f).alias("f")).withColumn("w", words_of(F.col("x"))).where(F.size("w") >= shortest).select(F.xxhash64("x").alias("id"), "f", "w")
+    index = distinct.select("id", "f", F.explode(index_keys(F.col("w"), levels)).alias("k"))
+    leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.count(F.lit(1)).alias("of"))
+    probe = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("w"), levels)).alias("k")).where("k IS NOT NULL")
+    met = stage(lambda: probe.join(leaders.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "of"))
+    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = own.withColumn("id", F.xxhash64("x")).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "x").agg(F.min(occurrence()).alias("f"))
-    a, b = (texts.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"), F.col("f").alias(f"f{c}")) for c in "ab")
-    ok = (F.length("xa") >= F.length("xb")) & (F.length("xa") - F.length("xb") <= distance)
-    return within(found.join(a, "a").join(b, "b").where(ok), distance).select("xa", "fa", "xb", "fb")
+    texts = own.withColumn("id", F.xxhash64("x")).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "x").agg(F.min(f).alias("f"))
+    texts = stage(lambda: texts.withColumn("w", words_of(F.col("x"))).select("id", "f", F.size("w").alias("n"), bitmap(F.col("w")).alias("bits"), "w", F.xxhash64(F.lit(1), "x").alias("h2")))
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """(id, h2) of the later line of each pair (a, b) that is near."""
+        a, b = (texts.select(*[F.col(x).alias(x + c) for x in ("f", "n", "bits", "w", "h2")], F.col("id").alias(c)) for c in "ab")
+        few = F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels)
+        both = pairs.join(a, "a").join(b, "b").where(few)
+        turned = F.col("na") < F.col("nb")
+        both = both.select("a", "b", "fa", "fb", "h2a", "h2b", F.when(turned, F.col("wb")).otherwise(F.col("wa")).alias("wa"), F.when(turned, F.col("wa")).otherwise(F.col("wb")).alias("wb"))
+        second = F.col("fa") > F.col("fb")
+        return within(both, levels).select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(second, F.col("h2a")).otherwise(F.col("h2b")).alias("h2")).distinct()
+
+    settled = stage(lambda: later(met.where("a <> b").select("a", "b").distinct()))
+    # keys of several lines: what is not settled yet meets the others
+    light = texts.select("id", "f", "n", "bits").join(settled.select("id").distinct().withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(light, "id"))
+    a, b = (rows.select("k", *[F.col(x).alias(x + c) for x in ("id", "f", "n", "bits", "done")], *(["leader"] if c == "a" else [])) for c in "ab")
+    open_ = ~F.when(F.col("fa") > F.col("fb"), F.col("donea")).otherwise(F.col("doneb"))
+    fits = (F.col("ida") < F.col("idb")) & (F.col("ida") != F.col("leader")) & (F.col("idb") != F.col("leader")) & (F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels))
+    pairs = a.join(b.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & fits & open_).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    more = later(stage(lambda: pairs))
+    return settled.unionByName(more).select(F.col("id").alias("h1"), "h2").distinct()
+
+
+def removed(docs: DataFrame, levels=LEVELS) -> DataFrame:
+    """(doc_id, mark, places, n_near): per document the sorted places of its removed lines, and how many of them have no equal line before them."""
+    near = stage(lambda: near_later(docs, levels))
+    # from here on a line is its 128-bit hash
+    at = lines(docs).select("doc_id", "mark", "place", occurrence(docs).alias("f"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
+    at = stage(lambda: at)
+    first = at.groupBy("h1", "h2").agg(F.min("f").alias("first"), F.max("f").alias("last")).where("first <> last").drop("last")
+    gone = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
+    hit = at.join(gone, ["h1", "h2"]).withColumn("later", F.coalesce(F.col("f") != F.col("first"), F.lit(False)))
+    hit = hit.where("later OR near")
+    return stage(lambda: hit.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set(F.when(~F.col("later"), F.col("place"))).alias("near")).select("doc_id", "mark", "places", F.size("near").cast("long").alias("n_near")))
 
 
-def removed(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, places, near, n_links): per document the places of its removed lines, those of them removed as nearly equal only, and its lines' near links."""
-    pairs = stage(lambda: near_pairs(docs, distance, min_chars))
-    both = pairs.select("xa", "fa", "xb", "fb").unionByName(pairs.select(F.col("xb").alias("xa"), F.col("fb").alias("fa"), F.col("xa").alias("xb"), F.col("fa").alias("fb"))).distinct()
-    linked = both.groupBy(F.xxhash64("xa").alias("h1"), F.xxhash64(F.lit(1), "xa").alias("h2")).agg(F.count(F.lit(1)).alias("links"), F.max(F.col("fb") < F.col("fa")).alias("near"))
-    # from here on a line is its 128-bit hash
-    at = lines(docs).select("d", "place", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
-    first = at.groupBy("h1", "h2").agg(F.min(occurrence()).alias("f"), F.count(F.lit(1)).alias("n"))
-    of_line = first.join(linked, ["h1", "h2"], "left").where("n > 1 OR links > 0").select("h1", "h2", "f", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    hit = at.join(of_line, ["h1", "h2"]).withColumn("later", occurrence() != F.col("f"))
-    place = F.when(F.col("later") | F.col("near"), F.col("place"))
-    return stage(lambda: hit.groupBy("d").agg(F.collect_set(place).alias("places"), F.collect_set(F.when(F.col("near") & ~F.col("later"), F.col("place"))).alias("near"), F.sum("links").alias("n_links")))
+def kept(text: Column, places: Column) -> Column:
+    """The text without the lines at these sorted places: what lies between them, put together again."""
+
+    def between(v: Column) -> Column:
+        after = lambda i: F.when(i == 0, 0).otherwise(F.get(v["p"], i - 1) + 1)
+        until = lambda i: F.coalesce(F.get(v["p"], i), F.size(v["x"]))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(v["p"])), lambda i: F.slice(v["x"], after(i) + 1, until(i) - after(i)))), "\n")
 
+    return F.when(places.isNull(), text).otherwise(let(F.struct(F.split(F.coalesce(text, F.lit("")), "\n").alias("x"), places.alias("p")), between))
 
-def _kept(places: str) -> Column:
-    every = F.split(F.coalesce("text", F.lit("")), "\n")
-    gone = F.col(places)
-    return F.when(gone.isNull() | (F.size(gone) == 0), F.col("text")).otherwise(F.array_join(F.filter(every, lambda x, i: ~F.array_contains(gone, i)), "\n"))
 
+def _applied(docs: DataFrame, levels) -> DataFrame:
+    """(row, places, n_near): the rows of docs as structs, with what is removed."""
+    gone = removed(docs, levels)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark")), "left").select("row", "places", "n_near")
 
-def clean(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def clean(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """docs with the text that is left; documents of which nothing with a word is left, though there was, are dropped."""
-    gone = removed(docs, distance, min_chars).select(F.col("d").alias("_d"), F.col("places").alias("_places"))
-    columns = [c for c in docs.columns if c != "text"]
-    joined = docs.withColumn("_d", ordered_id()).join(gone, "_d", "left")
-    left = joined.select(*[F.col(c) for c in columns], _kept("_places").alias("text"), F.col("text").alias("_before"))
-    words = lambda c: F.length(F.translate(F.coalesce(c, F.lit("")), BLANKS, ""))
-    return left.where((words("text") > 0) | (words("_before") == 0)).select(*docs.columns)
-
-
-def dedup(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near, n_links and kept_sha256 of each row."""
-    gone = removed(docs, distance, min_chars)
-    joined = docs.select("doc_id", "text", ordered_id().alias("d")).join(gone, "d", "left")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))
-    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), size("places").alias("n_removed"), size("near").alias("n_near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.sha2(F.coalesce(_kept("places"), F.lit("")), 256).alias("kept_sha256"))
+    out = _applied(docs, levels).withColumn("left", kept(F.col("row.text"), F.col("places")))
+    blank = F.length(F.btrim("left", F.lit(BLANKS))) == 0
+    return out.where(F.col("places").isNull() | ~blank).select(*[(F.col("left") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def dedup(docs: DataFrame, levels=LEVELS) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_near and kept_sha256 of each row."""
+    n_lines = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+    size = F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")
+    text = F.coalesce(kept(F.col("row.text"), F.col("places")), F.lit(""))
+    return _applied(docs, levels).select("row.doc_id", n_lines.cast("long").alias("n_lines"), size.alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

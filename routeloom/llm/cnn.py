@@ -4,8 +4,8 @@ Filters of WIDTH bytes slide over the whole UTF-8 text. Their activations are
 max-pooled in chunks of 2 * STEP bytes that overlap by half; the chunks' pooled
 vectors are combined over the document by mean, maximum and minimum, and two
 small layers make one probability of them. The network is trained here, by
-Adam, on a bounded sample of labelled documents; of a long one, training sees a
-span, while scoring always reads the whole text.
+Adam, on a sample of at most LEARN_ROWS labelled documents. Training and scoring
+read whole texts.
 
 Defined results: null and empty texts count as one chunk of padding and get
 that chunk's score; without labels of both kinds every score is the share of
@@ -25,8 +25,8 @@ from .sample import bucket, labelled
 
 #: Filters, their width in bytes, half a chunk, hidden units.
 FILTERS, WIDTH, STEP, HIDDEN = 16, 5, 256, 16
-#: Documents to learn from at most, and bytes of each.
-LEARN_ROWS, LEARN_BYTES = 4000, 6144
+#: Documents to learn from at most.
+LEARN_ROWS = 4000
 #: Bytes that are looked at together when scoring.
 BLOCK = 1 << 20
 #: Bytes whose activations are held at a time, a multiple of STEP.
@@ -149,9 +149,13 @@ class Network:
 
     def _gradients(self, padded: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p, x = self.p, np.frombuffer(b"".join(padded), np.uint8)
-        act = _activations(p["w"], x).reshape(-1, STEP, FILTERS)
-        where = act.argmax(axis=1)
-        raw = np.take_along_axis(act, where[:, None], 1)[:, 0] + p["b"]
+        where, raw = np.empty((len(x) // STEP, FILTERS), np.int64), np.empty((len(x) // STEP, FILTERS), p["w"].dtype)
+        for a in range(0, len(x), PIECE):  # of activations, only the largest of a step is kept
+            ahead = x[a : a + PIECE + WIDTH - 1]
+            act = _activations(p["w"], ahead)[: len(x[a : a + PIECE])].reshape(-1, STEP, FILTERS)
+            own = slice(a // STEP, a // STEP + len(act))
+            where[own] = act.argmax(axis=1)
+            raw[own] = np.take_along_axis(act, where[own][:, None], 1)[:, 0] + p["b"]
         steps = np.maximum(raw, 0)
         first = np.concatenate([[0], np.cumsum([len(b) // STEP for b in padded])[:-1]]).astype(np.int64)
         doc = np.repeat(np.arange(len(padded)), [len(b) // STEP for b in padded])
@@ -184,20 +188,9 @@ class Network:
         return {k: g.astype(np.float32) for k, g in (grads | {"w": dw, "b": dsteps.sum(0)}).items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows: int = LEARN_ROWS, size: int = LEARN_BYTES) -> Network:
-    """Learn from at most ``rows`` labelled documents, of each at most ``size`` bytes at a place given by its id."""
-
-    def spans(batches):
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = text.encode("utf-8", "replace")
-                start = hash(doc_id) * 7919 % max(1, len(raw) - size + 1)
-                out.append(raw[start : start + size])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "raw"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(spans, f"doc_id {kind}, label int, raw binary").collect()
+def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows: int = LEARN_ROWS) -> Network:
+    """Learn from at most ``rows`` labelled documents, of each the whole text."""
+    found = labelled(docs, labels, label, learn, rows).select("doc_id", F.col("text").cast("binary").alias("raw"), "label").collect()  # rows documents at most
     found.sort(key=lambda r: r.doc_id)
     return Network().fit([bytes(r.raw) for r in found], np.array([r.label for r in found]))
 

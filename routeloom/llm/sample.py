@@ -16,7 +16,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows
 
     The rows with the smallest hashes of their ids are taken, so that the
     choice depends on neither order nor partitioning. Null labels and ids,
-    and ids with contradictory labels, are left out. The chosen labels are at
+    and ids with contradictory labels, are left out; of several texts under one id,
+    that with the smallest hash is taken. Texts are whole. The chosen labels are at
     most ``rows`` rows, which bounds what is broadcast.
     """
     one = (
@@ -29,4 +30,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text", "label")

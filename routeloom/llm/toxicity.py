@@ -2,9 +2,11 @@
 
 A document's features are the distinct character n-grams (4 to 6 code points,
 white space as one space, lower case) of its whole text, hashed to BUCKETS.
-Each is scaled by its naive Bayes log-count ratio between the labels before
-logistic regression learns its weight. Only the FEATURES n-grams with the
-strongest ratios take part.
+Each is scaled by its naive Bayes log-count ratio between the labels, and by one
+over the root of the text's length, before logistic regression learns its
+weight; both labels weigh as much as the root of their share. The FEATURES
+n-grams that speak most for label 1 take part: those of LEAST documents with it
+or more, by their ratio times the root of these documents' number.
 
 Defined results: null and empty texts have no n-grams and get the score of the
 bias alone; without labels of both kinds every score is the share of label 1,
@@ -24,20 +26,39 @@ from .sample import bucket, labelled
 
 SIZES, BITS, FEATURES = (4, 5, 6), 20, 16384
 BUCKETS = 1 << BITS
-#: Documents to learn from at most, and characters of each.
-LEARN_ROWS, LEARN_CHARS = 8000, 20_000
+#: Documents to learn from at most; documents with label 1 that an n-gram needs; characters below which texts count as equally long.
+LEARN_ROWS, LEAST, SHORT = 8000, 3, 100
 #: Characters that are looked at together.
 BLOCK = 1 << 18
 THRESHOLD = 0.7
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every n-gram, one array each; a text's n-grams are those of its words with a space on either side and between them."""
-    clean = [" " + " ".join(t.lower().split()) + " " for t in texts]
-    points = np.frombuffer("".join(clean).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    size = np.array([len(t) for t in clean], np.int64)
-    owner = np.repeat(np.arange(len(clean)), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters from here to the text's end
+def cleaned(text: str) -> str:
+    """Lower case, with one space between words and on either side."""
+    return " " + " ".join(text.lower().split()) + " "
+
+
+def pieces(texts: list[str]):
+    """Groups of about BLOCK characters, as lists of (text's number, piece): a longer text is cut into overlapping pieces, which have all its n-grams."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        for i in range(0, max(1, len(t) - SIZES[-1] + 1), BLOCK):
+            piece = t[i : i + BLOCK + SIZES[-1] - 1]
+            if group and size + len(piece) > BLOCK:
+                yield group
+                group, size = [], 0
+            group.append((k, piece))
+            size += len(piece)
+    if group:
+        yield group
+
+
+def grams(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every n-gram of pieces of cleaned texts, one array each."""
+    points = np.frombuffer("".join(p for _, p in group).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    size = np.array([len(p) for _, p in group], np.int64)
+    owner = np.repeat(np.array([k for k, _ in group], np.int64), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters from here to the piece's end
     h = np.zeros(len(points), np.uint64)
     found, whose = [], []
     mult = np.uint64(0x9E3779B97F4A7C15)
@@ -51,10 +72,21 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(found)
 
 
+def features(text: str) -> tuple[np.ndarray, int]:
+    """The distinct buckets of a text's n-grams, and its length."""
+    text = cleaned(text)
+    found = [np.unique(grams(g)[1]) for g in pieces([text])]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0], len(text)
+
+
+def by_length(size: np.ndarray) -> np.ndarray:
+    return 1 / np.sqrt(np.maximum(size, SHORT))
+
+
 def choose(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets with the strongest log-count ratios, and these ratios, from each bucket's documents of either kind; one is added to each count."""
+    """The buckets that speak most for label 1, and their log-count ratios, from each bucket's documents of either kind; one is added to each count."""
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
-    strength = np.abs(ratio) * np.sqrt(toxic + clean)
+    strength = np.where(toxic >= min(LEAST, n_toxic), np.maximum(ratio, 0) * np.sqrt(toxic), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     return chosen, ratio[chosen]
 
@@ -67,32 +99,34 @@ def members(chosen: np.ndarray) -> np.ndarray:
 
 class Linear:
     def __init__(self) -> None:
-        self.weight, self.bias, self.prior, self.trained = np.zeros(BUCKETS, np.float32), 0.0, 0.5, False
+        self.weight, self.bias, self.prior, self.unit, self.trained = np.zeros(BUCKETS, np.float32), 0.0, 0.5, 1.0, False
 
-    def fit(self, features: list[np.ndarray], labels: np.ndarray) -> "Linear":
-        """features: the distinct buckets of each document."""
-        y = np.asarray(labels, np.float64)
+    def fit(self, texts: list[str], labels: np.ndarray) -> "Linear":
+        both, y = [features(t) for t in texts], np.asarray(labels, np.float64)
         kinds = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-        for f, label in zip(features, y):
+        for (f, _), label in zip(both, y):
             kinds[int(label)][f] += 1
         chosen, scale = choose(kinds[1], kinds[0], y.sum(), (1 - y).sum())
         known = members(chosen)
-        return self.learn([f[known[f]] for f in features], y, chosen, scale)
+        return self.learn([f[known[f]] for f, _ in both], np.array([n for _, n in both]), y, chosen, scale)
 
-    def learn(self, features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> "Linear":
-        """features: those of the chosen buckets that each document has."""
+    def learn(self, found: list[np.ndarray], size: np.ndarray, labels: np.ndarray, chosen: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> "Linear":
+        """found: those of the chosen buckets that each document has; size: the documents' lengths."""
         y = np.asarray(labels, np.float64)
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(y) == 0 or y.min() == y.max():
             return self
-        doc, col = np.repeat(np.arange(len(y)), [len(f) for f in features]), np.searchsorted(chosen, np.concatenate(features))
-        value = scale[col]
+        self.unit = float(by_length(size).mean())
+        doc, col = np.repeat(np.arange(len(y)), [len(f) for f in found]), np.searchsorted(chosen, np.concatenate(found))
+        value = scale[col] * (by_length(size) / self.unit)[doc]
+        heavy = np.where(y > 0, np.sqrt((1 - y).sum() / y.sum()), 1.0)
+        heavy /= heavy.mean()
         # Adam on the mean logistic loss with a ridge penalty
-        w, b = np.zeros(len(chosen)), np.array(np.log(self.prior / (1 - self.prior)))
+        w, b = np.zeros(len(chosen)), np.zeros(())
         m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         for t in range(1, rounds + 1):
             z = np.bincount(doc, value * w[col], len(y)) + b
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * heavy
             grad = np.append(np.bincount(col, value * error[doc], len(chosen)) + penalty * w, error.sum()) / len(y)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             move = 0.02 * (1 - 0.9 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
@@ -105,46 +139,29 @@ class Linear:
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.full(len(texts), self.prior)
-        out, group, size = [], [], 0
-        for t in [*texts, None]:
-            if group and (t is None or size + len(t) > BLOCK):
-                out.append(self._score(group))
-                group, size = [], 0
-            if t is not None:
-                group.append(t)
-                size += len(t)
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def _score(self, texts: list[str]) -> np.ndarray:
-        owner, found = grams(texts)
-        own = self.known[found]
-        both = np.unique(owner[own] * BUCKETS + found[own])  # each n-gram once per text
-        owner, found = both // BUCKETS, both % BUCKETS
-        z = np.bincount(owner, self.weight[found], len(texts)) + self.bias
+        clean, both = [cleaned(t) for t in texts], [np.zeros(0, np.int64)]
+        for group in pieces(clean):
+            owner, found = grams(group)
+            own = self.known[found]
+            both.append(np.unique(owner[own] * BUCKETS + found[own]))
+        pair = np.unique(np.concatenate(both))  # each n-gram once per text
+        z = np.bincount(pair // BUCKETS, self.weight[pair % BUCKETS], len(texts)) * by_length(np.array([len(t) for t in clean])) / self.unit + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", rows: int = LEARN_ROWS, size: int = LEARN_CHARS) -> Linear:
-    """Learn from at most ``rows`` labelled documents, of each at most ``size`` characters at a place given by its id."""
-
-    def spans(batches):
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                start = hash(doc_id) * 7919 % max(1, len(text) - size + 1)
-                out.append(text[start : start + size])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], ["doc_id", "text", "label"])
+def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", rows: int = LEARN_ROWS) -> Linear:
+    """Learn from at most ``rows`` labelled documents, of each the whole text."""
 
     def count(batches):
         kinds, n = np.zeros((2, BUCKETS), np.int32), [0, 0]
         for b in batches:
             for text, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kinds[label][np.unique(grams([text])[1])] += 1
+                kinds[label][features(text)[0]] += 1
                 n[label] += 1
         yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([kinds.tobytes()], pa.binary())], ["clean", "toxic", "kinds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = stage(lambda: labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").mapInArrow(spans, f"doc_id {kind}, text string, label int").repartition(4, "doc_id"))
+    sample = stage(lambda: labelled(docs, labels, label, learn, rows).select("doc_id", "text", "label").repartition(4, "doc_id"))
     kinds, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in sample.mapInArrow(count, "clean long, toxic long, kinds binary").toLocalIterator():  # four rows of two counters per bucket
         kinds += np.frombuffer(bytes(r.kinds), np.int32).reshape(2, BUCKETS)
@@ -154,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", rows: i
     def own(batches):
         known = members(chosen)
         for b in batches:
-            out = [(f := np.unique(grams([t])[1]))[known[f]].astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "found"])
+            both = [features(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for _, n in both], pa.int64()), pa.array([f[known[f]].astype(np.int32).tobytes() for f, _ in both], pa.binary())], ["doc_id", "label", "size", "found"])
 
-    found = sample.mapInArrow(own, f"doc_id {kind}, label int, found binary").toArrow().sort_by("doc_id")
-    return Linear().learn([np.frombuffer(x.as_py(), np.int32) for x in found.column("found")], found.column("label").to_numpy(), chosen, scale)
+    found = sample.mapInArrow(own, f"doc_id {kind}, label int, size long, found binary").toArrow().sort_by("doc_id")
+    return Linear().learn([np.frombuffer(x.as_py(), np.int32) for x in found.column("found")], found.column("size").to_numpy(), found.column("label").to_numpy(), chosen, scale)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:

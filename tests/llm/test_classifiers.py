@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -63,14 +64,83 @@ def test_cnn_gradient_is_right():
 
 def test_toxicity_learns():
     text, _, toxic = corpus()
-    model = toxicity.Linear().fit([np.unique(toxicity.grams([t])[1]) for t in text[:180]], toxic[:180])
+    model = toxicity.Linear().fit(text[:180], toxic[:180])
     assert ((model.score(text[180:]) >= 0.7) == toxic[180:]).mean() > 0.95
     assert np.allclose(model.score(text[:3]), [model.score([t])[0] for t in text[:3]])
 
 
-def test_grams_are_of_one_text_only():
-    owner, found = toxicity.grams(["abc", "", "abc"])
+def plain_toxicity(model, text):
+    """The score of one text, n-gram by n-gram."""
+    clean, mask, mult = " " + " ".join(text.lower().split()) + " ", (1 << 64) - 1, 0x9E3779B97F4A7C15
+    found = set()
+    for n in toxicity.SIZES:
+        for i in range(len(clean) - n + 1):
+            h = 0
+            for k, c in enumerate(clean[i : i + n], 1):
+                h = (h * mult + ord(c) + k) & mask
+            found.add(((h ^ (h >> 29)) * mult & mask) >> (64 - toxicity.BITS))
+    z = sum(float(model.weight[f]) for f in found) / math.sqrt(max(len(clean), toxicity.SHORT)) / model.unit + model.bias
+    return 1 / (1 + math.exp(-z))
+
+
+def plain_quality(model, raw):
+    """The score of one text, byte by byte."""
+    p, step, width = model.p, cnn.STEP, cnn.WIDTH
+    x = b"\0" * (width - 1) + raw
+    x += b"\0" * (-len(x) % step)
+    acts = []
+    for i in range(0, len(x), step):
+        best = [-math.inf] * cnn.FILTERS
+        for j in range(i, i + step):
+            for f in range(cnn.FILTERS):
+                best[f] = max(best[f], sum(float(p["w"][k][x[j + k] if j + k < len(x) else 0][f]) for k in range(width)))
+        acts.append([max(0.0, b + float(p["b"][f])) for f, b in enumerate(best)])
+    chunks = [[max(a, b) for a, b in zip(one, two)] for one, two in zip(acts, acts[1:] + acts[-1:])]
+    columns = list(zip(*chunks))
+    z = [sum(c) / len(c) for c in columns] + [max(c) for c in columns] + [min(c) for c in columns]
+    hidden = [max(0.0, sum(a * float(p["h"][i][k]) for i, a in enumerate(z)) + float(p["c"][k])) for k in range(cnn.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(h * float(o) for h, o in zip(hidden, p["o"])) + float(p["d"][0]))))
+
+
+def test_scores_equal_plain_loops(spark):
+    text, quality, toxic = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)] + [(300, ""), (301, "a"), (302, CLEAN * 30), (303, "Ünï " * 99)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(q), int(t)) for i, (q, t) in enumerate(zip(quality, toxic)) if i < 180], "doc_id long, quality int, toxic int")
+    some = [*range(0, 240, 30), 300, 301, 302, 303]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = cnn.fit(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in cnn.score(docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain_quality(model, texts[i].encode()), abs=1e-4) for i in some)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain_toxicity(model, texts[i]), abs=1e-5) for i in some)
+    # learning on the executors equals learning in one place
+    again = toxicity.Linear().fit(text[:180], toxic[:180])
+    assert np.allclose(again.weight, model.weight, atol=1e-6) and again.bias == pytest.approx(model.bias)
+
+
+def test_learning_reads_whole_texts(spark):
+    """What tells the labels apart stands at the end of long texts only."""
+    rng, rows, labels = np.random.default_rng(2), [], []
+    words = ["thing", "other", "ending", "here", "there", "with", "that"]
+    for i in range(60):
+        rows.append((i, " ".join(rng.choice(words, 6000)) + (" zzqx%%% zzqx%%%" * 20 if i % 2 else "")))
+        labels.append((i, 1 - i % 2, i % 2))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for module, sign in ((cnn, -1), (toxicity, 1)):
+        s = np.array([r.score for r in sorted(module.score(docs, module.fit(docs, known, F.col("doc_id") < 40)).collect())])[40:]
+        odd = np.arange(40, 60) % 2 == 1
+        assert ((s >= 0.5) == (odd if sign > 0 else ~odd)).all()
+
+
+def test_grams_are_of_one_text_only(monkeypatch):
+    owner, found = toxicity.grams([(0, " abc "), (1, "  "), (2, " abc ")])
     assert sorted(found[owner == 0]) == sorted(found[owner == 2])
+    long = " ".join(f"w{i % 97}" for i in range(400))
+    whole = toxicity.features(long)
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    cut = toxicity.features(long)
+    assert np.array_equal(whole[0], cut[0]) and whole[1] == cut[1]
 
 
 @pytest.mark.parametrize("module", [cnn, toxicity])

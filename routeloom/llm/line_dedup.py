@@ -78,7 +78,7 @@ def _edge(n: Column, i: int, parts: int) -> Column:
 
 
 def _key(w: Column, t: int, n: Column, i: int, start: Column, size: Column) -> Column:
-    """Hash of a distance, a line's length, a segment's number and the words of the line from start (from 0)."""
+    """Hash of a distance, a line's length, a segment's number and the words (as hashes) of the line from start (from 0)."""
     return F.xxhash64(n, F.lit(i * 64 + t), F.slice(w, start + 1, size))
 
 
@@ -193,13 +193,12 @@ def bitmap(w: Column) -> Column:
 
 def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """(h1, h2): hashes of the distinct lines that have a nearly equal line (not an equal one) before them."""
-    own, shortest = lines(docs), levels[0][0] - levels[0][1]
-    f = occurrence(docs)
-    # the same plan below both sides, so that the distinct lines are shuffled once
-    distinct = own.groupBy("x").agg(F.min(f).alias("f")).withColumn("w", words_of(F.col("x"))).where(F.size("w") >= shortest).select(F.xxhash64("x").alias("id"), "f", "w")
+    own, f = lines(docs), occurrence(docs)
+    distinct = own.groupBy("x").agg(F.min(f).alias("f")).select(F.xxhash64("x").alias("id"), "f", F.transform(words_of(F.col("x")), lambda w: F.xxhash64(w)).alias("w"))
     index = distinct.select("id", "f", F.explode(index_keys(F.col("w"), levels)).alias("k"))
     leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.count(F.lit(1)).alias("of"))
-    probe = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(F.col("w"), levels)).alias("k")).where("k IS NOT NULL")
+    # f is asked for on this side too, so that both read the same shuffle of the distinct lines
+    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), F.explode(probe_keys(F.col("w"), levels)).alias("k")).where("k IS NOT NULL")
     met = stage(lambda: probe.join(leaders.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "of"))
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -3,9 +3,9 @@
 White space of the ASCII kind always ends a piece for the vocabulary's
 pre-tokenizer, so a text's ids are the concatenation of its pieces' ids. Short
 pieces are encoded once per worker and remembered in a bounded table. A piece
-with a long run without white space is encoded as a tree: its leaves are
-encoded in parallel, and neighbours are concatenated by re-encoding a growing
-window around the join until it agrees with both sides exactly.
+of more than LONG bytes, which no white space splits, is encoded as a tree: its
+leaves are encoded in parallel, and neighbours are concatenated by re-encoding a
+growing window around the join until it agrees with both sides exactly.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text; repeated rows are encoded one by one; columns other than the id and the
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes from which a piece counts as long, characters of a tree's leaf, and first half-width of a window.
-LONG, LEAF, WINDOW = 2048, 1024, 32
+#: Bytes from which a piece counts as long; characters of a tree's leaf, in trees of up to FEW and of more characters; first half-width of a window.
+LONG, LEAF, FEW, LARGE, WINDOW = 24, 16, 2048, 1024, 8
 #: Pieces that a worker remembers; rows looked at together.
 REMEMBERED, SLICE = 600_000, 512
 
@@ -104,9 +104,9 @@ def join(tok, text: str, left: list[Token], right: list[Token], lo: int, cut: in
         width *= 2
 
 
-def encode_tree(tok, text: str, leaf: int = LEAF) -> list[int]:
+def encode_tree(tok, text: str, leaf: int | None = None) -> list[int]:
     """Ids of a long text: leaves in parallel, then concatenated in pairs, level by level."""
-    n = max(1, -(-len(text) // leaf))
+    n = max(1, -(-len(text) // (leaf or (LEAF if len(text) <= FEW else LARGE))))
     edges = [len(text) * i // n for i in range(n + 1)]
     at = list(zip(edges, edges[1:]))
     parts = _encode_at(tok, text, at)
@@ -130,6 +130,7 @@ class Coder:
         self.tok, self.long, self.remembered = load(path), long, remembered
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.trees = 0
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.shown = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
         self.ends = np.array([x.endswith(b"</w>") for x in self.shown])
@@ -177,7 +178,9 @@ class Coder:
         met = set().union(*pieces)
         long = {p for p in met if len(p) > self.long}
         self._learn(met - long)
-        trees = {p: np.array(encode_tree(self.tok, p.decode("utf-8", "replace")), "<u4").tobytes() for p in long}
+        trees = {p: self.old.get(p) or self.ids.get(p) or np.array(encode_tree(self.tok, p.decode("utf-8", "replace")), "<u4").tobytes() for p in long}
+        self.ids.update((p, x) for p, x in trees.items() if len(p) <= FEW)
+        self.trees += len(trees)
         known = (lambda p: trees.get(p) or self.ids[p]) if trees else self.ids.__getitem__
         for ps in pieces:
             ids = b"".join(map(known, ps))

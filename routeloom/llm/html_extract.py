@@ -6,9 +6,8 @@ adverts, forms, reader comments) go. If the page marks its content (article,
 main, or a container named so), its blocks are the text. Otherwise pages are
 paired by URL path within each host: in path order, every page is aligned with
 the page before and the page after it by a longest common subsequence of their
-lines, and lines shared with either are deleted. A neighbour that shares four
-fifths of all lines or more is a copy, not a sibling from the same template,
-and deletes nothing.
+lines, and lines shared with either are deleted. A neighbour that shares all
+lines is a copy, not a sibling from the same template, and deletes nothing.
 
 Only line hashes are sorted and paired. Positions in the sorted order come from
 a table of rows per partition, so pairs are found by an equi-join of positions
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,15 @@ RAW = frozenset("script style noscript template textarea title iframe xmp noembe
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("th", "td")}
 DROPPED = RAW | frozenset("head nav footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu topbar breadcrumb breadcrumbs pagination pager footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login widget masthead skip banner hidden".split()
 )
+#: Words beside such a one that say where or what it is, and words that turn its meaning round.
+BESIDE = frozenset("area articles bar block body bottom box bottom col column container content first global inner item items last left link links list main outer page panel posts primary right row secondary section site small stories top unit widgets wrap wrapper".split())
+TURNED = frozenset("has no non not overflow show toggle visible with without".split())
 HEADS = frozenset(("header",))
 CONTENT = frozenset("article content main post entry story".split())
 NOT_CONTENT = frozenset("header footer meta nav list".split())
@@ -56,6 +60,14 @@ _URL = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)")
 CELLS = 1 << 27
 
 
+def _marks(name: str) -> bool:
+    """Whether a class or id says that its element is not content: its last word does, or some word where all others only say which one."""
+    parts = [x for x in _NAME.findall(name) if not x.isdigit()]
+    if not parts or TURNED.intersection(parts):
+        return False
+    return parts[-1] in MARKS or bool(MARKS.intersection(parts)) and all(x in MARKS or x in BESIDE for x in parts)
+
+
 def _purpose(name: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is dropped, and whether it says that it holds the content."""
     if name in DROPPED:
@@ -69,12 +81,13 @@ def _purpose(name: str, attributes: str) -> tuple[bool, bool]:
     role = found.get("role", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or role in ROLES:
         return True, False
-    marks = set(_NAME.findall(found.get("class", "") + " " + found.get("id", "")))
     if name in ("html", "body"):
         return False, False
-    if marks & MARKS and (not content or marks & {"comment", "comments"}):
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    if any(_marks(x) for x in names) and (not content or any("comment" in x for x in names)):
         return True, False
-    return False, content or role == "main" or bool(marks & CONTENT and not marks & NOT_CONTENT)
+    words = [set(_NAME.findall(x)) for x in names]
+    return False, content or role == "main" or any(x & CONTENT and not x & NOT_CONTENT for x in words)
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -83,6 +96,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # name, dropped, level
+    opened: Counter[str] = Counter()  # names on the stack
     dropped, level, at = False, 1, 0
 
     def flush() -> None:
@@ -95,6 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     def pop_to(i: int) -> None:
         nonlocal dropped, level
         flush()
+        opened.subtract(x[0] for x in stack[i:])
         del stack[i:]
         dropped, level = stack[-1][1:] if stack else (False, 1)
 
@@ -112,11 +127,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         name, closing = name.lower(), bool(m[1] or m[4])
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     if name in BLOCKS or stack[i][1] != dropped or any(x[0] in BLOCKS for x in stack[i:]) or (stack[i - 1][1:] if i else (False, 1)) != (dropped, level):
                         pop_to(i)
                     else:
+                        opened.subtract(x[0] for x in stack[i:])
                         del stack[i:]
                     break
             else:
@@ -130,15 +146,15 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         if name in BLOCKS:
             flush()
-            if name == "li" or name in ("dt", "dd", "tr", "td", "th", "option"):
-                for i in range(len(stack) - 1, -1, -1):
+            if name in ITEMS:
+                for i in range(len(stack) - 1, -1, -1) if any(opened[x] for x in ITEMS[name]) else ():
                     if stack[i][0] in ("ul", "ol", "dl", "menu") or (stack[i][0] == "table") or (name in ("td", "th") and stack[i][0] == "tr"):
                         break
-                    if stack[i][0] == name or {stack[i][0], name} in ({"dt", "dd"}, {"td", "th"}):
+                    if stack[i][0] in ITEMS[name]:
                         pop_to(i)
                         break
-            elif name not in ("br",):
-                for i in range(len(stack) - 1, -1, -1):
+            elif name != "br":
+                for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                     if stack[i][0] == "p":
                         pop_to(i)
                         break
@@ -147,7 +163,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if name in VOID:
             continue
         drop, content = _purpose(name, attributes)
-        in_article = any(x[0] == "article" for x in stack)
+        in_article = opened["article"] > 0
         if name == "header" and not in_article:
             drop = True
         elif not drop and not content and name in BLOCKS and attributes and not in_article:
@@ -157,6 +173,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if (drop or dropped) != dropped or deeper != level:
             flush()
         stack.append((name, drop or dropped, deeper))
+        opened[name] += 1
         dropped, level = drop or dropped, deeper
     flush()
     return out
@@ -223,14 +240,14 @@ def _middle(a: list[int], b: list[int], cells: int) -> list[int]:
 
 
 def _parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, all lines' hashes, the lines that may be text with their positions, whether the page marks its content, and a key of the row's address and lines."""
+    """page_id, url, host, path, the lines that may be text and their hashes, whether the page marks its content, and a key of the row's address and lines."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            host, path, hashes, lines, place, marked, key = [], [], [], [], [], [], []
+            host, path, hashes, lines, marked, key = [], [], [], [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found = blocks(page)
                 best = max((k for _, k in found), default=0)
@@ -238,14 +255,13 @@ def _parse(pages: DataFrame) -> DataFrame:
                 h, p = address(url)
                 host.append(h)
                 path.append(p)
-                hashes.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in found])
                 lines.append([found[i][0] for i in chosen])
-                place.append(chosen)
+                hashes.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t in lines[-1]])
                 marked.append(best != 1)
                 key.append(xxhash.xxh3_128(repr((h, p, hashes[-1])).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (host, path)), pa.array(hashes, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.string())), pa.array(place, pa.list_(pa.int32())), pa.array(marked), pa.array(key)], ["page_id", "url", "host", "path", "hashes", "lines", "place", "marked", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (host, path)), pa.array(hashes, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.string())), pa.array(marked), pa.array(key)], ["page_id", "url", "host", "path", "hashes", "lines", "marked", "key"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, path string, hashes array<long>, lines array<string>, place array<int>, marked boolean, key string")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, path string, hashes array<long>, lines array<string>, marked boolean, key string")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -281,7 +297,7 @@ def siblings(pages: DataFrame) -> DataFrame:
                 for other in (before, after):
                     if other:
                         same = shared(own, other)
-                        if 5 * len(same) < 4 * max(len(own), len(other)):
+                        if len(same) < len(own):
                             gone.update(same)
                 out.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "deleted"])
@@ -297,9 +313,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
     deleted = stage(lambda: siblings(pages).where(F.size("deleted") > 0))
     small = deleted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    parsed = _parse(pages).select("page_id", "url", "lines", "place", "key")
+    parsed = _parse(pages).select("page_id", "url", "lines", "key")
     joined = parsed.join(F.broadcast(deleted) if small else deleted, "key", "left")
-    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("deleted", F.get("place", i)), F.lit(False)))
+    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("deleted", i), F.lit(False)))
     text = F.array_join(F.when(F.col("deleted").isNull(), F.col("lines")).otherwise(kept), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -38,6 +38,16 @@ def test_periodic_text_and_long_pieces(coder):
         assert list(small([text])) == [library(coder.tok, text)]
 
 
+def test_texts_of_the_tables_use_trees(spark):
+    """Every document of the smallest tables equals the library's result, and their longer pieces come from trees."""
+    fresh = bpe.Coder()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [f"see https://www.example.org/{t.replace(' ', '_')}?q=1 for more" for t in texts[:40] if t]
+    for t, got in zip(texts, fresh(texts), strict=True):
+        assert got == library(fresh.tok, t)
+    assert fresh.trees > 40
+
+
 def test_forgetting_does_not_matter(coder):
     small = bpe.Coder(remembered=3)
     for text in ("one two three four five", "six one"):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -30,6 +31,9 @@ WANT = "Title here\nOne & two\nThree linked <ok>"
         ("<article><header><h1>T</h1></header><p>a < b & c</p><div class=comments><p>x</p></div></article>", "T\na < b & c"),
         ("<article><p hidden>no</p><p style='display: none'>no</p><pre>x\n  y</pre><ul><li>1<li>2</ul></article>", "x y\n1\n2"),
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
+        ('<div id="content" class="no-sidebar"><p>all</p><div class="main-menu">x</div></div>', "all"),
+        ('<div class="main-content has-sidebar"><p>all</p><div class="left-sidebar">x</div></div>', "all"),
+        ('<article><p class="overflow-hidden">a</p><div class="related-work">b</div><div class="related-posts">x</div><div class="ad-box-2">x</div></article>', "a\nb"),
     ],
 )
 def test_blocks(page, want):
@@ -70,6 +74,31 @@ def test_siblings_delete_what_they_share(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_equals_brute_force(spark):
+    """Pages that mark no content, of a long template and few lines of their own: lines of the page before or after, by path, go."""
+    rnd, rows = random.Random(3), []
+    for host in ("a.example", "b.example"):
+        template = [f"{host} line {i}" for i in range(30)]
+        for path in rnd.sample(range(1000), 25):
+            own = [f"{host} {path} text {k}" for k in range(rnd.randrange(1, 5))]
+            series = [f"{host} series {path // 200}"]
+            rows.append((len(rows), f"http://{host}/p/{path:04d}", template[: rnd.randrange(20, 28)] + series + own + template[29 - rnd.randrange(2) :]))
+    html = [(i, u, "".join(rnd.choice([f"<div>{x}</div>", f"<p>{x}"]) for x in lines)) for i, u, lines in rows]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(html, "page_id long, url string, html string").repartition(3)).collect()}
+    order = sorted(rows, key=lambda r: r[1])
+    for k, (i, u, lines) in enumerate(order):
+        near = [r for r in order[max(0, k - 1) : k + 2] if r[0] != i and r[1][:16] == u[:16]]
+        want = [x for x in lines if not any(x in r[2] for r in near)]
+        assert got[i] == "\n".join(want) and any("text" in x for x in want)
+
+
+def test_deep_nesting_is_linear():
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "</i>" * 100_000 + "x", "<ul>" + "<li>" * 100_000 + "x", "<p>" * 100_000 + "x", "<div><span>" * 50_000 + "</p>" * 50_000 + "x"):
+        assert text(page) == "x"
+    assert time.process_time() - began < 60
+
+
 def test_table_matches_a_plain_reading(spark):
     import re
     from html import unescape

@@ -19,7 +19,7 @@ class Settings:
     frontier_width: int | None = None
     max_reactions: int = 2_000_000
     max_pool: int | None = None
-    max_rounds: int = 32
+    max_rounds: int | None = None
 
     def __post_init__(self) -> None:
         if self.max_depth < 1:
@@ -45,9 +45,9 @@ def new_pairs(able: DataFrame, changed: DataFrame, reacted: DataFrame, s: Settin
     return pairs.join(reacted.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def relax(pool: DataFrame, edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
+def relax(pool: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Every product's best in-edge: the largest min(parents) * step, then the shallower, then the smaller (a, b); repeated until nothing changes. Sources stay (1, 0)."""
-    for _ in range(max_rounds):
+    while True:
         a = pool.select(F.col("m").alias("a"), F.col("total").alias("ta"), F.col("depth").alias("da"))
         b = pool.select(F.col("m").alias("b"), F.col("total").alias("tb"), F.col("depth").alias("db"))
         scored = edges.join(a, "a").join(b, "b").select(F.col("product").alias("m"), F.round(F.least("ta", "tb") * F.col("step"), 12).alias("total"), (F.greatest("da", "db") + 1).alias("depth"), "a", "b", "step")
@@ -73,7 +73,10 @@ def evolve(seeds: DataFrame, react: Callable[[DataFrame], DataFrame], s: Setting
         raise ValueError("no seed molecule")
     pool, changed, edges, reacted, n, why = sources, sources, None, None, 0, "exhausted"
     rounds = 0
-    for _ in range(s.max_rounds):
+    while True:
+        if rounds == s.max_rounds:
+            why = "max_rounds"
+            break
         able = reactable(pool, s)
         if reacted is None:
             kind = dict(sources.dtypes)["m"]
@@ -113,16 +116,16 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("m"), "product").unionByName(edges.select(F.col("b").alias("m"), "product")).distinct()
 
 
-def best_route(pool: DataFrame, targets: DataFrame, max_rounds: int = 64) -> DataFrame:
+def best_route(pool: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, m, parent_a, parent_b, step): the stored parents of each target and, in turn, of these; each molecule once, sources left out."""
     made = pool.where("parent_a IS NOT NULL").select("m", "parent_a", "parent_b", "step")
     front = targets.select(F.col("m").alias("target"), "m")
     out = None
-    for _ in range(max_rounds):
+    while True:
         got = front.join(made, "m").select("target", "m", "parent_a", "parent_b", "step")
         got = cut(got if out is None else got.join(out.select("target", "m"), ["target", "m"], "left_anti"))
         if got.limit(1).count() == 0:
             break
         out = got if out is None else out.unionByName(got)
         front = got.select("target", F.explode(F.array("parent_a", "parent_b")).alias("m")).distinct()
-    return out if out is not None else front.join(made, "m").select("target", "m", "parent_a", "parent_b", "step")
+    return got if out is None else out

@@ -18,21 +18,25 @@ def edges(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", "product", "score", F.posexplode("reactants").alias("pos", "child"))
 
 
-def solved(rules: DataFrame, stock: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Molecules that are in stock or made by a rule all of whose children are solved. Monotone: only rules of unsolved products are looked at again."""
-    done = cut(stock.select("k").distinct())
-    left = edges(rules).select("rule_id", "product", "child")
-    n = done.count()
-    for _ in range(max_rounds):
-        todo = left.join(done.withColumnRenamed("k", "product"), "product", "left_anti")
-        flagged = todo.join(done.select(F.col("k").alias("child"), F.lit(1).alias("hit")), "child", "left")
-        new = flagged.groupBy("rule_id", "product").agg(F.min(F.coalesce("hit", F.lit(0))).alias("all_in")).where("all_in = 1").select(F.col("product").alias("k"))
-        done = cut(done.unionByName(new).distinct())
-        size = done.count()
-        if size == n:
-            break
-        n = size
-    return done
+def solved(rules: DataFrame, stock: DataFrame) -> DataFrame:
+    """Molecules that are in stock or made by a rule all of whose children are solved, to the fixpoint.
+
+    Semi-naive: a round joins only the rules of molecules solved in the round
+    before, adds to each rule's number of solved children, and solves the
+    products of those that have all.
+    """
+    e = cut(edges(rules).select("rule_id", "product", "child").distinct())
+    need = cut(e.groupBy("rule_id", "product").agg(F.count(F.lit(1)).alias("need")))
+    done = front = cut(stock.select("k").distinct())
+    have = None
+    while True:
+        hit = e.join(front.withColumnRenamed("k", "child"), "child").groupBy("rule_id", "product").agg(F.count(F.lit(1)).alias("n"))
+        have = cut(hit if have is None else have.unionByName(hit).groupBy("rule_id", "product").agg(F.sum("n").alias("n")))
+        full = have.join(need, ["rule_id", "product"]).where("n = need").select(F.col("product").alias("k")).distinct()
+        front = cut(full.join(done, "k", "left_anti"))
+        if front.limit(1).count() == 0:
+            return done
+        done = cut(done.unionByName(front))
 
 
 def min_depth(rules: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
@@ -49,12 +53,12 @@ def min_depth(rules: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def closure(rules: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(rules: DataFrame, roots: DataFrame) -> DataFrame:
     """(k, ancestor): everything that each root can be made into, by semi-naive evaluation."""
     up = edges(rules).select(F.col("child").alias("k"), F.col("product").alias("ancestor")).where("k <> ancestor").distinct()
     total = cut(up.join(roots.select("k"), "k", "left_semi"))
     delta = total
-    for _ in range(max_rounds):
+    while True:
         new = delta.select("k", F.col("ancestor").alias("_m")).join(up.select(F.col("k").alias("_m"), "ancestor"), "_m").select("k", "ancestor").distinct()
         delta = cut(new.join(total, ["k", "ancestor"], "left_anti"))
         if delta.limit(1).count() == 0:
@@ -87,7 +91,7 @@ def route_cost(rules: DataFrame, stock: DataFrame, leaf: Column, max_rounds: int
     return rn.select("k", F.round("rn", digits).alias("rn"))
 
 
-def route_delta(rules: DataFrame, rn: DataFrame, root: DataFrame, max_rounds: int = 64) -> DataFrame:
+def route_delta(rules: DataFrame, rn: DataFrame, root: DataFrame) -> DataFrame:
     """(k, delta): least cost of everything else on a route from the root that uses k: 0 at the root, or else the least over parent rules of their total less the own rn, plus the parent's delta."""
     e = edges(rules).select("rule_id", "product", cost(F.col("score")).alias("c"), "child")
     with_rn = e.join(rn.select(F.col("k").alias("child"), "rn"), "child")
@@ -96,7 +100,7 @@ def route_delta(rules: DataFrame, rn: DataFrame, root: DataFrame, max_rounds: in
     own = with_rn.groupBy("rule_id", "product", "child").agg(F.sum("rn").alias("own")).join(total, "rule_id").select("product", "child", (F.col("t") - F.col("own")).alias("rest"))
     step = cut(own.groupBy("product", "child").agg(F.min("rest").alias("rest")))
     best = cut(root.select("k", F.lit(0.0).alias("delta")))
-    for _ in range(max_rounds):
+    while True:
         new = best.select(F.col("k").alias("product"), "delta").join(step, "product").groupBy(F.col("child").alias("k")).agg(F.min(F.col("rest") + F.col("delta")).alias("delta"))
         merged = cut(best.unionByName(new).groupBy("k").agg(F.min("delta").alias("delta")))
         old = best.select("k", F.col("delta").alias("old"))

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, span: int) -> DataFrame:
-    """Sum of ``value`` over the rows with smaller keys. Ranges of ``span`` keys are summed first; only their totals meet in one sequence."""
-    d = df.withColumn("_p", F.floor(F.col(key) / span))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    start = d.groupBy("_p").agg(F.sum(value).alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    within = F.sum(value).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
-    return d.withColumn("_w", within).join(F.broadcast(start), "_p").withColumn(name, F.col("_w") + F.col("_start")).drop("_p", "_w", "_start")
-
-
 def sum_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the rows with smaller keys, for keys of any distribution; keys are distinct.
 

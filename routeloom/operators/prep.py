@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import sum_before
+
 
 def mixed(key: Column, seed: int) -> Column:
     """A fixed integer shuffle of a key, the same in every engine."""
@@ -17,12 +19,13 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def dense_relabel(kept: DataFrame, label: str, name: str = "new_label") -> DataFrame:
-    """Old labels in order to 0, 1, 2, ...; counted by ranges, so that no task holds them all."""
-    parts = kept.select(label).distinct().withColumn("_p", F.floor(F.col(label) / 4096))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    start = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_start")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(label)) - 1
-    return parts.withColumn("_r", within).join(F.broadcast(start), "_p").select(label, (F.col("_r") + F.col("_start")).alias(name))
+    """Old labels in order to 0, 1, 2, ...; counted by sorted ranges, so that no task holds them all."""
+    return sum_before(kept.select(label).distinct().withColumn("_one", F.lit(1).cast("long")), label, "_one", name).select(label, name)
+
+
+def filter_counts(rows: DataFrame, keep: Column) -> DataFrame:
+    """One row: rows before and after a filter, and the share that stays."""
+    return rows.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(keep).alias("n_kept"), (F.count_if(keep) / F.count(F.lit(1))).alias("share"))
 
 
 def split(key: Column) -> Column:

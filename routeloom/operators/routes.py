@@ -23,13 +23,13 @@ def cheapest_rules(rules: DataFrame, solved: DataFrame, stock: DataFrame) -> Dat
     return ok.groupBy("product").agg(F.max_by("rule_id", F.struct("score", (-F.col("rule_id")).alias("n"))).alias("rule_id"))
 
 
-def walk(best: DataFrame, rules: DataFrame, targets: DataFrame, max_rounds: int = 64) -> DataFrame:
+def walk(best: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, k, rule_id): all steps of each target's route, level by level; a molecule once per target."""
     best = cut(best)
     step = cut(edges(rules).join(best.select("rule_id"), "rule_id", "left_semi").select(F.col("product").alias("k"), "child").distinct())
     front = cut(targets.select("target", F.col("target").alias("k")).join(best.withColumnRenamed("product", "k"), "k").select("target", "k", "rule_id"))
     out = front
-    for _ in range(max_rounds):
+    while True:
         new = front.select("target", "k").join(step, "k").select("target", F.col("child").alias("k")).distinct().join(best.withColumnRenamed("product", "k"), "k").select("target", "k", "rule_id")
         front = cut(new.join(out.select("target", "k"), ["target", "k"], "left_anti"))
         if front.limit(1).count() == 0:

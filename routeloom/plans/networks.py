@@ -22,26 +22,11 @@ def neg_log_cost(spark, sf_dir):
     return P.rules(spark, sf_dir).select("rule_id", F.round(G.cost(F.col("score")), 6).alias("cost"))
 
 
-def _closure_sql(some: str) -> str:
-    return _NET + f""", up AS (SELECT DISTINCT child AS k, product AS ancestor FROM edges WHERE child <> product),
-reach AS (SELECT k, ancestor FROM up{some} UNION SELECT r.k, u.ancestor FROM reach r JOIN up u ON u.k = r.ancestor)
-SELECT k, ancestor FROM reach"""
-
-
-def _closure(spark, sf_dir, some="true"):
-    roots = table(spark, sf_dir, "part").where(some).select(F.col("p_partkey").alias("k"))
-    return G.closure(P.rules(spark, sf_dir), roots)
-
-
-@query(_closure_sql(" WHERE k < 20"))
+@query(_NET + """, up AS (SELECT DISTINCT child AS k, product AS ancestor FROM edges WHERE child <> product),
+reach AS (SELECT k, ancestor FROM up UNION SELECT r.k, u.ancestor FROM reach r JOIN up u ON u.k = r.ancestor)
+SELECT k, ancestor FROM reach""")
 def ancestor_closure(spark, sf_dir):
-    return _closure(spark, sf_dir, "p_partkey < 20")
-
-
-@query(_closure_sql(""))
-def ancestor_closure_all(spark, sf_dir):
-    """Of every part."""
-    return _closure(spark, sf_dir)
+    return G.closure(P.rules(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")))
 
 
 @query(f"""
@@ -53,9 +38,10 @@ def cycle_reject(spark, sf_dir):
     from .relational import nation_reactions
 
     made = nation_reactions(spark, sf_dir).select(F.monotonically_increasing_id().alias("rule_id"), "product", F.lit(1.0).alias("score"), F.array("a", "b").alias("reactants"))
-    numbers = spark.range(75)
+    # (5 product + child) mod 7 = 0 as an equality of remainders
+    numbers = spark.range(75).withColumn("left", F.pmod(F.col("id") * 2, F.lit(7))).withColumn("right", F.pmod(F.col("id"), F.lit(7)))
     closure = G.closure(made, numbers.select(F.col("id").alias("k")))
-    cand = numbers.select(F.col("id").alias("product")).join(F.broadcast(numbers.select(F.col("id").alias("child"))), (F.col("product") * 5 + F.col("child")) % 7 == 0)
+    cand = numbers.select(F.col("id").alias("product"), F.col("left").alias("m")).join(numbers.select(F.col("id").alias("child"), F.col("right").alias("m")), "m").select("product", "child")
     return G.acyclic(cand, closure).select("product", "child")
 
 
@@ -63,24 +49,10 @@ def _levels(n: int) -> str:
     return ", ".join(f"d{i} AS MATERIALIZED (SELECT run, k, depth FROM d{i - 1} UNION ALL SELECT DISTINCT d.run, e.child, {i} FROM d{i - 1} d JOIN step e ON e.product = d.k WHERE d.depth = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} x WHERE x.run = d.run AND x.k = e.child))" for i in range(1, n + 1))
 
 
-def _depth_sql(some: str) -> str:
-    return _NET + f", step AS (SELECT DISTINCT product, child FROM edges), d0 AS (SELECT p_partkey AS run, p_partkey AS k, 0 AS depth FROM part{some}), {_levels(5)} SELECT run, k, depth FROM d5"
-
-
-def _depths(spark, sf_dir, some="true"):
-    roots = table(spark, sf_dir, "part").where(some).select(F.col("p_partkey").alias("run"), F.col("p_partkey").alias("k"))
-    return G.min_depth(P.rules(spark, sf_dir), roots, 5)
-
-
-@query(_depth_sql(" WHERE p_partkey % 40 = 7"))
+@query(_NET + f", step AS (SELECT DISTINCT product, child FROM edges), d0 AS (SELECT p_partkey AS run, p_partkey AS k, 0 AS depth FROM part), {_levels(5)} SELECT run, k, depth FROM d5")
 def min_depth_intern(spark, sf_dir):
-    return _depths(spark, sf_dir, "p_partkey % 40 = 7")
-
-
-@query(_depth_sql(""))
-def min_depth_intern_all(spark, sf_dir):
-    """Of every part."""
-    return _depths(spark, sf_dir)
+    roots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run"), F.col("p_partkey").alias("k"))
+    return G.min_depth(P.rules(spark, sf_dir), roots, 5)
 
 
 def _solved_sql(n: int) -> str:
@@ -138,31 +110,17 @@ def retro_delta(spark, sf_dir):
     return G.route_delta(rules, rn, root).select("k", F.round("delta", 6).alias("delta"))
 
 
-def _walk_sql(some: str) -> str:
-    return _NET + f""", s0 AS (SELECT k FROM stock), {_solved_sql(ROUNDS)},
+@query(_NET + f""", s0 AS (SELECT k FROM stock), {_solved_sql(ROUNDS)},
 ok AS (SELECT e.rule_id, e.product, max(score) AS score FROM edges e GROUP BY 1, 2 HAVING bool_and(child IN (SELECT k FROM s{ROUNDS}))),
 best AS (SELECT product, arg_max(rule_id, (score, -rule_id)) AS rule_id FROM ok WHERE product NOT IN (SELECT k FROM stock) GROUP BY 1),
-walk AS (SELECT product AS target, product AS k, rule_id FROM best{some}
+walk AS (SELECT product AS target, product AS k, rule_id FROM best
   UNION SELECT w.target, b.product, b.rule_id FROM walk w JOIN edges e ON e.rule_id = w.rule_id JOIN best b ON b.product = e.child)
-SELECT target, k, rule_id FROM walk"""
-
-
-def _walked(spark, sf_dir, some="true"):
+SELECT target, k, rule_id FROM walk""")
+def route_best(spark, sf_dir):
     rules = P.rules(spark, sf_dir)
     stock = P.stock(spark, sf_dir)
     best = routes.cheapest_rules(rules, G.solved(rules, stock), stock)
-    return routes.walk(best, rules, best.where(some).select(F.col("product").alias("target")))
-
-
-@query(_walk_sql(" WHERE product % 25 = 3"))
-def route_best(spark, sf_dir):
-    return _walked(spark, sf_dir, "product % 25 = 3")
-
-
-@query(_walk_sql(""))
-def route_best_all(spark, sf_dir):
-    """Of every product that has a route."""
-    return _walked(spark, sf_dir)
+    return routes.walk(best, rules, best.select(F.col("product").alias("target")))
 
 
 @query(f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,7 +16,7 @@ from . import search
 
 REPORT = (
     "target string, solved boolean, bb_coverage double, min_steps int, min_route_depth int, num_routes int, u int, synscore double, "
-    "leaves array<struct<smiles:string,in_stock:boolean>>, expansions int, nodes int, reactions int, terminated_by string, error string, "
+    "leaves array<struct<smiles:string,in_stock:boolean>>, expansions int, nodes int, reactions int, terminated_by string, error string, elapsed_s double, "
     "routes array<struct<steps:int,depth:int,coverage:double,score:double,tree:string>>"
 )
 
@@ -77,10 +78,12 @@ class Planner:
             for k, r, s, t, _ in sorted(((k, r, s, t, n) for k, r, s, t, n in zip(frame.k, frame.reactants, frame.score, frame.template_id, frame["rank"]) if r is not None), key=lambda x: (x[0], x[4])):
                 known.setdefault(k, []).append((tuple(r), float(s), int(t)))
             limits = search.Limits(max_depth, max_expansions, time_limit)
-            return pd.DataFrame([search.run(key[0], lambda k: known.get(k, []), stock.__contains__, algorithm, limits, width, value, exclude_target)])
+            began = time.perf_counter()
+            report = search.run(key[0], lambda k: known.get(k, []), stock.__contains__, algorithm, limits, width, value, exclude_target)
+            return pd.DataFrame([report | {"elapsed_s": time.perf_counter() - began}])
 
         done = network.groupBy("run").applyInPandas(one, REPORT)
-        bad = runs.where("run IS NULL").mapInPandas(lambda it: (pd.DataFrame([search.failed(None, "no molecule")] * len(p)) for p in it if len(p)), REPORT)
+        bad = runs.where("run IS NULL").mapInPandas(lambda it: (pd.DataFrame([search.failed(None, "no molecule") | {"elapsed_s": 0.0}] * len(p)) for p in it if len(p)), REPORT)
         return done.unionByName(bad)
 
 
@@ -95,4 +98,4 @@ class Scorer:
 
     @staticmethod
     def summary(reports: DataFrame) -> DataFrame:
-        return scoring.batch_summary(reports.withColumn("elapsed_s", F.lit(0.0)))
+        return scoring.batch_summary(reports)

@@ -47,25 +47,11 @@ def stock_empty(spark, sf_dir):
     return flagged.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_stock").alias("n_in_stock"))
 
 
-def _exclude_sql(some: str) -> str:
-    return f"""
-WITH {P.RULES_SQL}, {P.STOCK_SQL}, pairs AS (SELECT product AS target, unnest(list_append(reactants, product)) AS k FROM rules{some})
-SELECT target, k, (k IN (SELECT k FROM stock) AND k <> target) AS in_stock FROM pairs"""
-
-
-@query(_exclude_sql(" WHERE rule_id % 2 = 0"))
+@query(f"""
+WITH {P.RULES_SQL}, {P.STOCK_SQL}, pairs AS (SELECT product AS target, unnest(list_append(reactants, product)) AS k FROM rules)
+SELECT target, k, (k IN (SELECT k FROM stock) AND k <> target) AS in_stock FROM pairs""")
 def stock_exclude_target(spark, sf_dir):
-    return _exclude(spark, sf_dir, "rule_id % 2 = 0")
-
-
-@query(_exclude_sql(""))
-def stock_exclude_target_all(spark, sf_dir):
-    """Of every rule."""
-    return _exclude(spark, sf_dir)
-
-
-def _exclude(spark, sf_dir, some="true"):
-    pairs = P.rules(spark, sf_dir).where(some).select(F.col("product").alias("target"), F.explode(F.array_append("reactants", F.col("product"))).alias("k"))
+    pairs = P.rules(spark, sf_dir).select(F.col("product").alias("target"), F.explode(F.array_append("reactants", F.col("product"))).alias("k"))
     return S.with_flag(pairs, P.stock(spark, sf_dir), excluded=F.col("target"))
 
 
@@ -105,6 +91,11 @@ def simplifying_filter_relabel(spark, sf_dir):
     return prep.dense_relabel(P.rules(spark, sf_dir).where(F.size("reactants") >= 2), "rule_id")
 
 
+@query(f"WITH {P.RULES_SQL} SELECT count(*) AS n_in, count(*) FILTER (len(reactants) >= 2) AS n_kept, round(count(*) FILTER (len(reactants) >= 2) / count(*), 6) AS share FROM rules")
+def simplifying_filter_counts(spark, sf_dir):
+    return prep.filter_counts(P.rules(spark, sf_dir), F.size("reactants") >= 2).withColumn("share", F.round("share", 6))
+
+
 @query(f"""
 WITH {P.RULES_SQL}, p AS (SELECT rule_id, product, list_sort(reactants) AS r, score / (SELECT sum(score) FROM rules) AS prior FROM rules),
 m AS (SELECT product, r, max(prior) AS prior, arg_max(rule_id, (prior, -rule_id)) AS rule_id FROM p GROUP BY product, r),
@@ -160,25 +151,11 @@ def nation_reactions(spark, sf_dir):
     return react(n.join(n.select(F.col("a").alias("b")), F.col("a") <= F.col("b")))
 
 
-def _dual_sql(some: str, after: str) -> str:
-    return f"""
-WITH p AS (SELECT a.vec_id, a.label, list_transform(a.embedding{some}, lambda x: x::DOUBLE) AS r, list_transform(b.embedding{some}, lambda x: x::DOUBLE) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, list_transform(list_concat(list_concat(r, p), list_concat(list_transform(range(1, {after}), lambda i: p[i] - r[i]), list_transform(range(1, {after}), lambda i: p[i] * r[i]))), lambda x: round(x, 6)) AS features FROM p"""
-
-
-@query(_dual_sql("[1:4]", "5"))
+@query("""
+WITH p AS (SELECT a.vec_id, a.label, list_transform(a.embedding, lambda x: x::DOUBLE) AS r, list_transform(b.embedding, lambda x: x::DOUBLE) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, list_transform(list_concat(list_concat(r, p), list_concat(list_transform(range(1, len(r) + 1), lambda i: p[i] - r[i]), list_transform(range(1, len(r) + 1), lambda i: p[i] * r[i]))), lambda x: round(x, 6)) AS features FROM p""")
 def dual_tower_features(spark, sf_dir):
-    return _dual(spark, sf_dir, F.slice("embedding", 1, 4))
-
-
-@query(_dual_sql("", "len(r) + 1"))
-def dual_tower_features_all(spark, sf_dir):
-    """Of whole vectors."""
-    return _dual(spark, sf_dir, F.col("embedding"))
-
-
-def _dual(spark, sf_dir, values):
-    e = P.logits(spark, sf_dir).select("vec_id", F.transform(values, lambda x: x.cast("double")).alias("r"))
+    e = P.logits(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("r"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("r").alias("p")), "vec_id")
     return pairs.select("vec_id", F.transform(T.dual_features(F.col("r"), F.col("p")), lambda x: F.round(x, 6)).alias("features"))
 
@@ -271,30 +248,20 @@ WITH k AS (SELECT vec_id, label // 2 AS label, len(list_filter(embedding, lambda
 SELECT vec_id, label::INTEGER AS label, n, (sum(n) OVER (ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM k""")
 def ragged_filter(spark, sf_dir):
     e = P.logits(spark, sf_dir)
-    kept = e.join(F.broadcast(e.select("label").distinct().where("label % 2 = 0")), "label", "left_semi")
+    kept = e.join(e.select("label").distinct().where("label % 2 = 0"), "label", "left_semi")
     d = kept.select("vec_id", F.floor(F.col("label") / 2).cast("int").alias("label"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n"))
-    from ..operators.prefix import running_sum
+    from ..operators.prefix import sum_before
 
-    return running_sum(d, "vec_id", "n", "start", 4096)
+    return sum_before(d, "vec_id", "n", "start")
 
 
 _SCAN = r"""
 SELECT p_partkey AS k, p_name AS smiles, length(p_name)::BIGINT AS n_chars, len(string_split(p_name, ' '))::BIGINT AS n_parts, string_split(p_name, ' ')[1] AS first_part FROM part WHERE p_name IS NOT NULL"""
 
 
-@query(_SCAN + " AND p_partkey % 2 = 0")
-def typed_scan(spark, sf_dir):
-    return _scan(spark, sf_dir, "p_partkey % 2 = 0")
-
-
 @query(_SCAN)
-def typed_scan_all(spark, sf_dir):
-    """Of every part."""
-    return _scan(spark, sf_dir)
-
-
-def _scan(spark, sf_dir, some="true"):
-    p = table(spark, sf_dir, "part").where("p_name IS NOT NULL").where(some)
+def typed_scan(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_name IS NOT NULL")
     parts = F.split("p_name", " ")
     return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("smiles"), F.length("p_name").cast("long").alias("n_chars"), F.size(parts).cast("long").alias("n_parts"), F.element_at(parts, 1).alias("first_part"))
 

@@ -73,21 +73,7 @@ def running_rate(spark, sf_dir):
     return R.running_rate(r, ["ts", "event_id"], "solved", "day").select("event_id", F.round("rate", 6).alias("rate"))
 
 
-def _json_sql(some: str) -> str:
-    return _LEAF + """ SELECT customer, '{"n":' || count(*) || ',"solved":' || count(*) FILTER (solved) || ',"best":[' || string_agg(u::VARCHAR, ',' ORDER BY u, o) || ']}' AS report FROM s""" + some + " GROUP BY customer"
-
-
-@query(_json_sql(" WHERE customer % 10 = 1"))
+@query(_LEAF + """ SELECT customer, '{"n":' || count(*) || ',"solved":' || count(*) FILTER (solved) || ',"best":[' || string_agg(u::VARCHAR, ',' ORDER BY u, o) || ']}' AS report FROM s GROUP BY customer""")
 def json_report(spark, sf_dir):
-    return _json(spark, sf_dir, "customer % 10 = 1")
-
-
-@query(_json_sql(""))
-def json_report_all(spark, sf_dir):
-    """Of every customer."""
-    return _json(spark, sf_dir)
-
-
-def _json(spark, sf_dir, some="true"):
-    r = order_reports(spark, sf_dir).where(some).groupBy("customer").agg(F.count(F.lit(1)).alias("n"), F.count_if("solved").alias("solved"), F.array_sort(F.collect_list(F.struct("u", "o"))).alias("x"))
+    r = order_reports(spark, sf_dir).groupBy("customer").agg(F.count(F.lit(1)).alias("n"), F.count_if("solved").alias("solved"), F.array_sort(F.collect_list(F.struct("u", "o"))).alias("x"))
     return r.select("customer", F.to_json(F.struct("n", "solved", F.transform("x", lambda v: v["u"]).alias("best"))).alias("report"))

@@ -11,12 +11,16 @@ from ..operators.evolution import top
 from ..operators.scoring import batch_summary
 
 
+def _timed(reports: DataFrame) -> DataFrame:
+    """Reports of runs that kept no time have none, rather than zero seconds."""
+    return reports if "elapsed_s" in reports.columns else reports.withColumn("elapsed_s", F.lit(None).cast("double"))
+
+
 def batch_json(reports: DataFrame) -> DataFrame:
     """(kind, json): one row with the summary and one per target, rounded for reading; nothing is collected."""
     rounded = reports.withColumns({c: F.round(c, 4) for c in ("bb_coverage", "synscore") if c in reports.columns})
     rows = rounded.select(F.lit("molecule").alias("kind"), F.to_json(F.struct(*[c for c in rounded.columns if c != "routes"])).alias("json"))
-    timed = reports if "elapsed_s" in reports.columns else reports.withColumn("elapsed_s", F.lit(0.0))
-    summary = batch_summary(timed)
+    summary = batch_summary(_timed(reports))
     return summary.select(F.lit("summary").alias("kind"), F.to_json(F.struct(*summary.columns)).alias("json")).unionByName(rows)
 
 
@@ -27,7 +31,7 @@ def evolution_json(pool: DataFrame, edges: DataFrame, stats: dict, max_molecules
 
 
 def describe_batch(reports: DataFrame) -> str:
-    s = batch_summary(reports if "elapsed_s" in reports.columns else reports.withColumn("elapsed_s", F.lit(0.0))).first()
+    s = batch_summary(_timed(reports)).first()
     return f"{s.n} targets, {s.n_evaluated} evaluated, {100 * s.solve_rate:.1f} % solved, mean coverage {s.mean_bb_coverage:.3f}"
 
 

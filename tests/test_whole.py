@@ -5,7 +5,7 @@ from routeloom import catalog
 from routeloom.session import table
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ancestor_closure_all", "min_depth_intern_all", "route_best_all", "json_report_all", "stock_exclude_target_all", "typed_scan_all", "dual_tower_features_all"]
+NAMES = ["ancestor_closure", "min_depth_intern", "route_best", "json_report", "stock_exclude_target", "typed_scan", "dual_tower_features", "ragged_filter", "simplifying_filter_relabel", "cycle_reject"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import networks, relational, reports, statistics  # noqa: F401
+from .plans import kernel, networks, relational, reports, statistics  # noqa: F401
 from .plans.registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "molecule_report"

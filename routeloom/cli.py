@@ -1,7 +1,7 @@
-"""Command line: plan, score, evolve, build-stock.
+"""Command line: plan, score, forward, evolve, build-stock.
 
-Rules come as Parquet (product, reactants, score, template_id), stock as a key
-file, targets as text.
+Rules come as Parquet (product, reactants, score, template_id), or from a model
+(.npz) and its templates; stock as a key file, targets as text.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import argparse
 
 from pyspark.sql import functions as F
 
+from .functions import nn
 from .operators import evolution
+from .plans.model import load_default_planner, model_react, read_templates
 from .plans.planner import Planner, Scorer
 from .session import session
 from .sources import files
@@ -22,7 +24,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("plan", "score"):
         c = sub.add_parser(name)
         c.add_argument("targets", help="a target, or a file of targets with score")
-        c.add_argument("--rules", required=True)
+        c.add_argument("--rules")
+        c.add_argument("--model")
+        c.add_argument("--templates")
         c.add_argument("--stock", required=True)
         c.add_argument("--algorithm", default="retrostar", choices=["bfs", "retrostar", "mcts"])
         c.add_argument("--value", default="molsize", choices=["zero", "constant", "molsize"])
@@ -32,9 +36,17 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--time-limit", type=float)
         c.add_argument("--exclude-target", action="store_true")
         c.add_argument("--output")
+    c = sub.add_parser("forward")
+    c.add_argument("reactants", help="molecules between dots")
+    c.add_argument("--model", required=True)
+    c.add_argument("--templates", required=True)
+    c.add_argument("--top-k", type=int, default=10)
+    c.add_argument("--top-templates", type=int, default=10)
     c = sub.add_parser("evolve")
     c.add_argument("seeds", help="molecules between dots")
-    c.add_argument("--edges", required=True, help="Parquet of pair reactions (a, b, product, step)")
+    c.add_argument("--edges", help="Parquet of pair reactions (a, b, product, step)")
+    c.add_argument("--model")
+    c.add_argument("--templates")
     c.add_argument("--max-depth", type=int, default=3)
     c.add_argument("--threshold", type=float, default=0.1)
     c.add_argument("--frontier-width", type=int)
@@ -65,16 +77,28 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "build-stock":
         files.save_keys(files.stock_from_smiles(files.read_column(spark, a.input, a.column, a.delimiter, a.skip_header)), a.output, a.gzip)
         return 0
+    if a.command == "forward":
+        model = nn.TemplateModel(nn.load(a.model), read_templates(spark, a.templates), a.top_templates)
+        found = model.predict_forward([a.reactants], a.top_k)[0]
+        for i, p in enumerate(found, 1):
+            print(f"{i}\t{p['product']}\t{p['score']:.4f}\ttemplate {p['template_id']}")
+        if not found:
+            print("nothing predicted")
+        return 0 if found else 1
     if a.command == "evolve":
-        known = spark.read.parquet(a.edges)
+        react = model_react(nn.load(a.model), read_templates(spark, a.templates)) if a.model else None
+        known = None if react else spark.read.parquet(a.edges)
         seeds = files.reaction_seeds(spark.createDataFrame([(a.seeds,)], "value string"))
         s = evolution.Settings(max_depth=a.max_depth, threshold=a.threshold, self_pairs=not a.no_self_pairs, frontier_width=a.frontier_width)
-        pool, _, stats = evolution.evolve(seeds, lambda pairs: known.join(pairs, ["a", "b"], "left_semi"), s)
+        pool, _, stats = evolution.evolve(seeds, react or (lambda pairs: known.join(pairs, ["a", "b"], "left_semi")), s)
         print(stats)
         for r in evolution.top(pool, a.top).collect():
             print(f"{r.m}\t{r.total:.4f}\tdepth {r.depth}")
         return 0
-    planner = Planner(spark.read.parquet(a.rules), files.read_keys(spark, a.stock), a.algorithm, a.width, a.value)
+    if a.model:
+        planner = load_default_planner(spark, model=a.model, templates=a.templates, stock=a.stock, width=a.width, algorithm=a.algorithm, value=a.value)
+    else:
+        planner = Planner(spark.read.parquet(a.rules), files.read_keys(spark, a.stock), a.algorithm, a.width, a.value)
     one = a.command == "plan"
     targets = spark.createDataFrame([(a.targets,)], "target string") if one else files.read_targets(spark, a.targets)
     out = Scorer(planner).score_batch(targets, a.max_depth, max_expansions=a.max_expansions, time_limit=a.time_limit, exclude_target=a.exclude_target)

@@ -528,13 +528,19 @@ def _compiled(smarts: str, forward: bool) -> tuple[tuple[Pattern, ...], tuple[Pa
     return (b, a) if forward else (a, b)
 
 
+@lru_cache(maxsize=4096)
+def _graph(text: str) -> Graph:
+    """The graph of a canonical text, which no caller changes."""
+    return parse(text)
+
+
 def apply_template(smarts: str, product: str, max_outcomes: int = MAX_OUTCOMES) -> list[tuple[tuple[str, ...], tuple[int, ...] | None]]:
     """Distinct reactant sets of a retro template, each sorted; matched atoms come with them only where every match has its own set."""
     sides = _compiled(smarts, False)
     text = canonicalize(product)
     if sides is None or text is None:
         return []
-    g = parse(text)
+    g = _graph(text)
     found, n = {}, 0
     for at in matches(sides[0][0], g):
         n += 1

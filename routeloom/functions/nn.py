@@ -57,22 +57,51 @@ def plain_atom_features(g: chem.Graph, i: int) -> list[float]:
     return sum(_common(g, i), [])
 
 
-def _bond(g: chem.Graph, a: int, b: int) -> tuple[float, float, float]:
+def ring_bonds(g: chem.Graph) -> set[tuple[int, int]]:
+    """Bonds (smaller atom first) that lie on a ring: those that a depth-first search doesn't find to be bridges."""
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    rings = {(i, j) for i, near in g.bonds.items() for j in near if i < j}
+    for root in g.bonds:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack = [(root, -1, iter(g.bonds[root]))]
+        while stack:
+            at, parent, rest = stack[-1]
+            for j in rest:
+                if j == parent:
+                    continue
+                if j in order:
+                    low[at] = min(low[at], order[j])
+                else:
+                    order[j] = low[j] = len(order)
+                    stack.append((j, at, iter(g.bonds[j])))
+                    break
+            else:
+                stack.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[at])
+                    if low[at] > order[parent]:
+                        rings.discard((min(at, parent), max(at, parent)))
+    return rings
+
+
+def _bond(g: chem.Graph, a: int, b: int, rings: set[tuple[int, int]] | None) -> tuple[float, float, float]:
     o = g.bonds[a][b]
     unsaturated = lambda i: any(x != 1.0 for x in g.bonds[i].values())
     conjugated = o == 1.5 or o == 1.0 and unsaturated(a) and unsaturated(b)
-    without = chem.Graph(g.atoms, {i: {j: x for j, x in near.items() if {i, j} != {a, b}} for i, near in g.bonds.items()})
-    ring = any(a in p and b in p for p in without.parts())
+    ring = (min(a, b), max(a, b)) in (ring_bonds(g) if rings is None else rings)
     return o, float(conjugated), float(ring)
 
 
-def bond_features(g: chem.Graph, a: int, b: int) -> list[float]:
-    o, conjugated, ring = _bond(g, a, b)
+def bond_features(g: chem.Graph, a: int, b: int, rings: set[tuple[int, int]] | None = None) -> list[float]:
+    o, conjugated, ring = _bond(g, a, b, rings)
     return one_hot(o, ORDERS, False) + [conjugated, ring] + [1.0] + [0.0] * (STEREOS - 1)
 
 
-def plain_bond_features(g: chem.Graph, a: int, b: int) -> list[float]:
-    o, conjugated, ring = _bond(g, a, b)
+def plain_bond_features(g: chem.Graph, a: int, b: int, rings: set[tuple[int, int]] | None = None) -> list[float]:
+    o, conjugated, ring = _bond(g, a, b, rings)
     return one_hot(o, ORDERS) + [conjugated, ring, 1.0]
 
 
@@ -85,12 +114,12 @@ def tensors(smiles: str, plain: bool = False) -> tuple[np.ndarray, np.ndarray, n
         return None
     af, bf, bw = (plain_atom_features, plain_bond_features, PLAIN_BOND_WIDTH) if plain else (atom_features, bond_features, BOND_WIDTH)
     x = np.array([af(g, i) for i in range(len(g.atoms))], np.float64)
-    edges, feats = [], []
+    edges, feats, rings = [], [], ring_bonds(g)
     for i in g.bonds:
         for j in g.bonds[i]:
             if i < j:
                 edges += [(i, j), (j, i)]
-                feats += [bf(g, i, j)] * 2
+                feats += [bf(g, i, j, rings)] * 2
     return x, np.array(edges, np.int64).reshape(-1, 2).T, np.array(feats, np.float64).reshape(-1, bw)
 
 

@@ -35,6 +35,20 @@ def components(s: pd.Series) -> pd.Series:
     return s.map(lambda x: chem.components(x or ""))
 
 
+@F.pandas_udf(T.BooleanType())
+def has_radical(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: chem.has_radical(x) if chem.canonicalize(x) else None).astype("boolean")
+
+
+_SIZES = ("n_atoms", "n_directed", "atom_width", "bond_width", "plain_atom_width", "plain_bond_width")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in _SIZES]))
+def graph_sizes(s: pd.Series) -> pd.DataFrame:
+    both = [(nn.tensors(x), nn.tensors(x, True)) for x in s]
+    return pd.DataFrame([(len(a[0]), a[1].shape[1], a[0].shape[1], a[2].shape[1], b[0].shape[1], b[2].shape[1]) if a else (None,) * 6 for a, b in both], columns=list(_SIZES))
+
+
 @F.udtf(returnType=T.StructType().add("reactants", T.ArrayType(T.StringType())).add("match_atoms", T.ArrayType(T.IntegerType())))
 class ApplyTemplate:
     def eval(self, smarts: str, product: str):
@@ -61,22 +75,26 @@ PREDICTIONS = "array<struct<reactants:array<string>,score:double,template_id:int
 FORWARD = "array<struct<product:string,score:double,template_id:int,n_templates:int>>"
 
 
-def _batches(df: DataFrame, column: str, kind: str, run) -> DataFrame:
+def _batches(df: DataFrame, column: str, kind: str, parts: tuple, run) -> DataFrame:
+    """Predictions of a model whose parts are broadcast once; a task builds it once."""
+    shared = df.sparkSession.sparkContext.broadcast(parts)
+
     def each(frames):
+        model = nn.TemplateModel(*shared.value)
         for f in frames:
-            yield pd.DataFrame({column: f[column], "predictions": run(f[column].tolist())})
+            yield pd.DataFrame({column: f[column], "predictions": run(model, f[column].tolist())})
 
     return df.select(column).mapInPandas(each, f"{column} string, predictions {kind}")
 
 
 def expand(molecules: DataFrame, weights: dict, templates: dict[int, str], top_k: int = 50, top_templates: int = 50) -> DataFrame:
     """(smiles, predictions) of a template model. Equal molecules are predicted once."""
-    return _batches(molecules.select("smiles").distinct(), "smiles", PREDICTIONS, lambda s: nn.TemplateModel(weights, templates, top_templates).predict(s, top_k))
+    return _batches(molecules.select("smiles").distinct(), "smiles", PREDICTIONS, (weights, templates, top_templates), lambda model, s: model.predict(s, top_k))
 
 
 def react(sets: DataFrame, weights: dict, templates: dict[int, str], top_k: int = 10, top_templates: int = 10) -> DataFrame:
     """(reactants, predictions) of a forward model."""
-    return _batches(sets.select("reactants").distinct(), "reactants", FORWARD, lambda s: nn.TemplateModel(weights, templates, top_templates).predict_forward(s, top_k))
+    return _batches(sets.select("reactants").distinct(), "reactants", FORWARD, (weights, templates, top_templates), lambda model, s: model.predict_forward(s, top_k))
 
 
 def plausibility(weights: dict):

@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents table; what each stage returns is written as Parquet in the shared folder and read again."""
+    """The last stage's rows over the documents table; what each stage returns is written as Parquet in the shared folder and read again, and goes once the next stage has written its own."""
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/routeloom-checkpoints'}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
@@ -63,4 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs

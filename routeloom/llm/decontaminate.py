@@ -13,8 +13,7 @@ Two texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a
 standard deviation of 2.8; RADIUS is 3.5 deviations beyond.
 
 Defined results: null and empty texts and items without words match nothing;
-of equally similar windows, one that a shared shingle aligns with the item comes
-first, then the first of the document; repeated rows are one match; null ids are kept as they are; further columns are
+of equally similar windows the first of the document is reported; repeated rows are one match; null ids are kept as they are; further columns are
 ignored; empty tables give an empty result.
 """
 
@@ -30,6 +29,8 @@ SHINGLE, PERCENT, RADIUS, BITS = 5, 80, 19, 64
 BROADCAST_SHINGLES = 500_000
 #: Documents with places to look at that are broadcast at most.
 BROADCAST_ROWS = 300_000
+#: Tasks that items are dealt to.
+TASKS = 32
 
 
 def _hash(w: Column, at: Column, k: int) -> Column:
@@ -114,17 +115,12 @@ def windows(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     return d.select("doc_id", "t", "size", "first", "n", F.slice("w", F.col("first") + 1, F.col("n")).alias("w"))
 
 
-def aligned(s: Column, item: Column, first: Column, last: Column) -> Column:
-    """Whether a shared shingle puts the window where it is; at either end of the document also one that would put it beyond."""
-    moves = F.transform(s, lambda x, i: F.when(F.array_contains(item, x), F.array_position(item, x) - 1 - i))
-    return F.exists(moves, lambda x: (x == 0) | (x > 0) & (first == 0) | (x < 0) & (first == last))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first, n_words, n_common, n_all): the most similar window of each document with each item it repeats."""
     items = _items(benchmark)
     marked = stage(lambda: windows(docs, items, percent).drop("t").withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
-    known = items.withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s")))
+    # items are few rows of much work each
+    known = items.repartition(TASKS, "item_id").withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s")))
     probe = marked.select("n", "f", F.explode(blocks(F.col("f"), radius)).alias("x")).select("n", "f", "x.*").distinct()
     index = known.select("item_id", "n", "g", F.explode(blocks(F.col("g"), radius)).alias("x")).select("item_id", "n", "g", "x.*")
     near = probe.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("n", "f", "item_id").distinct()
@@ -133,8 +129,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radiu
     common = F.size(F.array_intersect("a", "c")).cast("long")
     pair = pair.select("doc_id", "item_id", "first", "size", "s", "is", F.col("n").alias("n_words"), common.alias("n_common"), (F.size("a") + F.size("c")).cast("long").alias("both"))
     pair = pair.withColumn("n_all", F.col("both") - F.col("n_common")).where(F.col("n_common") * 100 >= F.col("n_all") * percent)
-    fits = aligned(F.col("s"), F.col("is"), F.col("first"), F.greatest(F.lit(0), F.col("size") - F.col("n_words")))
-    best = F.max_by(F.struct("first", "n_words", "n_common", "n_all"), F.struct(F.col("n_common") / F.col("n_all"), fits, -F.col("first"))).alias("x")
+    best = F.max_by(F.struct("first", "n_words", "n_common", "n_all"), F.struct(F.col("n_common") / F.col("n_all"), -F.col("first"))).alias("x")
     return pair.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("x.first").cast("long").alias("first"), F.col("x.n_words").cast("long").alias("n_words"), "x.n_common", "x.n_all")
 
 
@@ -142,15 +137,16 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that repeat no item, with all their columns."""
     # rows are told apart by id and text, since null ids and shared ids have several texts
     key = F.struct("doc_id", F.xxhash64("text").alias("t"))
-    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id.doc_id").alias("_hit"), F.col("doc_id.t").alias("_text")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
+    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("hit")).distinct()
+    own = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("t"))
+    return docs.join(hit, own.eqNullSafe(hit["hit"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Every aligned window with its exact similarity, without fingerprints.
+#: Windows at every start in the documents that share enough shingles with items of a length, with their exact similarity, without fingerprints.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -161,9 +157,9 @@ ish AS (SELECT item_id, n, k, q, array_to_string(iw[q + 1:q + k], ' ') AS s FROM
 dsh AS (
   SELECT doc_id, w, k, p, array_to_string(w[p + 1:p + k], ' ') AS s
   FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM bn) WHERE len(w) >= k)),
-win AS (
-  SELECT DISTINCT doc_id, n, greatest(0, least(p - q, len(w) - n)) AS f, w[greatest(0, least(p - q, len(w) - n)) + 1:greatest(0, least(p - q, len(w) - n)) + n] AS x
-  FROM dsh JOIN ish USING (k, s)),
+hit AS (SELECT doc_id, n, k, any_value(w) AS w, count(DISTINCT p) AS c FROM dsh JOIN ish USING (k, s) GROUP BY doc_id, n, k),
+at AS (SELECT doc_id, n, w, unnest(range(0, greatest(0, len(w) - n) + 1)) AS f FROM hit WHERE 180 * c >= 80 * (least(n, len(w)) - k + 1 + n - k + 1)),
+win AS (SELECT doc_id, n, f, w[f + 1:f + n] AS x FROM at),
 ws AS (
   SELECT doc_id, n, f, s, count(*) AS c
   FROM (SELECT doc_id, n, f, array_to_string(x[i:i + least(len(x), 5) - 1], ' ') AS s

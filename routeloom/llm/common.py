@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def stage(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, generated methods too long for Java's compiler are not used: Spark then evaluates their expressions in parts, which is several times faster."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Order of a null id: after every other.
 LAST = 9223372036854775807
 

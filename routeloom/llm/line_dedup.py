@@ -13,10 +13,11 @@ places and for the lengths that the distance allows (multi-match-aware
 selection), as hashes of (t, length, segment, words). Only distinct lines take
 part, so copies make no pairs.
 
-Lines that share a key are first compared with the earliest of them alone, which
-settles a group of near copies in as many pairs as it has lines. Lines without
-an earlier partner so far then meet the other lines of their keys, as far as
-bitmaps of their words allow the distance. Pairs are verified by the banded
+Every line is first compared with one line alone, the earliest that shares a key
+with it, which settles a group of near copies in as many pairs as it has lines.
+Lines without an earlier partner so far then meet the earliest line of each of
+their keys, and at last the other lines of their keys, as far as bitmaps of their
+words allow the distance. Pairs are verified by the banded
 bit-parallel edit distance, on what is left of both lines without their common
 beginning and end. All of it is DataFrame expressions.
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, stage, table
+from .common import SPACE, small_methods, stage, table
 
 #: (words of the longer line, distance that is allowed from there on).
 LEVELS = ((10, 1), (20, 2))
@@ -46,7 +47,9 @@ MASK = (1 << 31) - 1
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, place, x): every line with a word; mark is the hash of its text."""
-    every = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "x"))
+    # the hash before the lines, or else every line would carry its whole text
+    whole = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split(F.coalesce("text", F.lit("")), "\n").alias("xs"))
+    every = whole.select("doc_id", "mark", F.posexplode("xs").alias("place", "x"))
     return every.where(F.length(F.btrim("x", F.lit(BLANKS))) > 0)
 
 
@@ -195,11 +198,13 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """(h1, h2): hashes of the distinct lines that have a nearly equal line (not an equal one) before them."""
     own, f = lines(docs), occurrence(docs)
     distinct = own.groupBy("x").agg(F.min(f).alias("f")).select(F.xxhash64("x").alias("id"), "f", F.transform(words_of(F.col("x")), lambda w: F.xxhash64(w)).alias("w"))
-    index = distinct.select("id", "f", F.explode(index_keys(F.col("w"), levels)).alias("k"))
-    leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.count(F.lit(1)).alias("of"))
+    # keys in a projection of their own, which Spark can evaluate in parts
+    index = distinct.select("id", "f", index_keys(F.col("w"), levels).alias("ks")).select("id", "f", F.explode("ks").alias("k"))
+    leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.min("f").alias("fb"), F.count(F.lit(1)).alias("of")).withColumnRenamed("k", "key")
     # f is asked for on this side too, so that both read the same shuffle of the distinct lines
-    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), F.explode(probe_keys(F.col("w"), levels)).alias("k")).where("k IS NOT NULL")
-    met = stage(lambda: probe.join(leaders.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "of"))
+    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), probe_keys(F.col("w"), levels).alias("ks")).select("a", F.explode("ks").alias("k")).where("k IS NOT NULL")
+    with small_methods(docs.sparkSession):
+        met = stage(lambda: probe.join(leaders, (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "fb", "of"))
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = own.withColumn("id", F.xxhash64("x")).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "x").agg(F.min(f).alias("f"))
@@ -215,16 +220,27 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
         second = F.col("fa") > F.col("fb")
         return within(both, levels).select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(second, F.col("h2a")).otherwise(F.col("h2b")).alias("h2")).distinct()
 
-    settled = stage(lambda: later(met.where("a <> b").select("a", "b").distinct()))
+    def known(settled: DataFrame) -> DataFrame:
+        """(id, f, n, bits, done): the lines, and which are known to have a near line before them."""
+        done = settled.select("id").distinct().withColumn("done", F.lit(True))
+        return texts.select("id", "f", "n", "bits").join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+    # one pair a line, with the earliest leader of its keys; then its other leaders, unless the later line is settled
+    led = met.where("a <> b")
+    first = led.groupBy("a").agg(F.min_by("b", "fb").alias("b"))
+    settled = stage(lambda: later(first))
+    light = known(settled).withColumnsRenamed({"id": "ida", "f": "fa"}).select("ida", "fa", "done")
+    open_ = ~(F.col("done") & (F.col("fa") > F.col("fb")))
+    others = led.select("a", "b", "fb").distinct().join(first.withColumnRenamed("b", "was"), "a").where("b <> was").drop("was")
+    others = stage(lambda: others.join(light, (F.col("a") == F.col("ida")) & open_).select("a", "b"))
+    settled = stage(lambda: settled.unionByName(later(others)).distinct())
     # keys of several lines: what is not settled yet meets the others
-    light = texts.select("id", "f", "n", "bits").join(settled.select("id").distinct().withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(light, "id"))
+    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(known(settled), "id"))
     a, b = (rows.select("k", *[F.col(x).alias(x + c) for x in ("id", "f", "n", "bits", "done")], *(["leader"] if c == "a" else [])) for c in "ab")
     open_ = ~F.when(F.col("fa") > F.col("fb"), F.col("donea")).otherwise(F.col("doneb"))
     fits = (F.col("ida") < F.col("idb")) & (F.col("ida") != F.col("leader")) & (F.col("idb") != F.col("leader")) & (F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels))
-    pairs = a.join(b.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & fits & open_).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    more = later(stage(lambda: pairs))
-    return settled.unionByName(more).select(F.col("id").alias("h1"), "h2").distinct()
+    pairs = stage(lambda: a.join(b.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & fits & open_).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
+    return settled.unionByName(later(pairs)).select(F.col("id").alias("h1"), "h2").distinct()
 
 
 def removed(docs: DataFrame, levels=LEVELS) -> DataFrame:

@@ -58,3 +58,10 @@ def one_hot(value: Column, known: list, other: bool = True) -> Column:
 def dual_features(r: Column, p: Column) -> Column:
     """[r, p, p - r, p * r] of two vectors."""
     return F.concat(r, p, F.zip_with(p, r, lambda a, b: a - b), F.zip_with(p, r, lambda a, b: a * b))
+
+
+def conditions_empty(conditions: Column) -> Column:
+    """Whether a reaction's conditions (solvent, temperature_c, reagent, extra map) say nothing; a null record says nothing."""
+    named = [conditions[c].isNull() for c in ("solvent", "temperature_c", "reagent")]
+    extra = F.coalesce(F.size(conditions["extra"]), F.lit(0)) <= 0
+    return conditions.isNull() | (named[0] & named[1] & named[2] & extra)

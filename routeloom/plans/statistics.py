@@ -51,14 +51,25 @@ def percentile_gap(spark, sf_dir):
     return S.percentile_gap(x, "x", "y", 6, "k").select("k", F.round("gap", 6).alias("gap"))
 
 
+def _series() -> str:
+    """The polynomial of the error function's fit in e, as SQL."""
+    out = f"{S.ERFC[-1]}::DOUBLE"
+    for c in reversed(S.ERFC[:-1]):
+        out = f"({c}::DOUBLE + e * {out})"
+    return out
+
+
 @query(_ARMS + """, d AS (SELECT (a_steps - b_steps + (o % 5) - 2)::DOUBLE AS d FROM arms), nz AS (SELECT d, abs(d) AS ad FROM d WHERE d <> 0),
 r AS (SELECT d, ad, rank() OVER (ORDER BY ad) + (count(*) OVER (PARTITION BY ad) - 1) / 2 AS r FROM nz),
 s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS wp, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS wm FROM r),
 t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM nz GROUP BY ad))
-SELECT n, wp AS w_plus, wm AS w_minus, least(wp, wm) AS w, round((wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s, t""")
+SELECT n, w_plus, w_minus, w, round(z, 6) AS z, round(2 * upper, 6) AS p, round(CASE WHEN z >= 0 THEN upper ELSE 1 - upper END, 6) AS p_greater
+FROM (SELECT *, 0.5::DOUBLE * e * exp(-z * z / 2 + """ + _series() + """) AS upper
+  FROM (SELECT *, 1 / (1 + abs(z) / sqrt(2) / 2) AS e
+    FROM (SELECT n, wp AS w_plus, wm AS w_minus, least(wp, wm) AS w, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, t)))""")
 def wilcoxon(spark, sf_dir):
     x = arms(spark, sf_dir).select(F.col("a_steps").cast("double").alias("x"), (F.col("b_steps") - (F.col("o") % 5) + 2).cast("double").alias("y"))
-    return S.wilcoxon(x, "x", "y").withColumn("z", F.round("z", 6))
+    return S.wilcoxon(x, "x", "y").withColumns({c: F.round(c, 6) for c in ("z", "p", "p_greater")})
 
 
 @query()

@@ -121,3 +121,33 @@ def test_streaming(spark, tmp_path):
         stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "target")
         st.score_stream(stream, lambda d: d.withColumn("score", F.length("target")), out, mark).awaitTermination()
     assert sorted(r.target for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_normal_tail_and_empty_conditions(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from routeloom.functions.text import conditions_empty
+    from routeloom.operators.stats import normal_tail
+
+    for r in spark.createDataFrame([(z / 4,) for z in range(-20, 21)], "z double").select("z", normal_tail(F.col("z")).alias("p")).collect():
+        assert abs(r.p - math.erfc(r.z / math.sqrt(2)) / 2) < 2e-7
+    rows = [(1, None), (2, (None, None, None, None)), (3, (None, None, None, {})), (4, ("water", None, None, None)), (5, (None, 0.0, None, None)), (6, (None, None, None, {"ph": "7"}))]
+    d = spark.createDataFrame(rows, "k int, c struct<solvent:string,temperature_c:double,reagent:string,extra:map<string,string>>")
+    assert {r.k for r in d.where(conditions_empty(F.col("c"))).collect()} == {1, 2, 3}
+
+
+def test_fixpoints_have_no_cap(spark):
+    """A chain of 70 rules is solved, closed and walked to its end."""
+    from pyspark.sql import functions as F
+
+    from routeloom.operators import graph, routes
+
+    rules = spark.range(70).select(F.col("id").alias("rule_id"), (F.col("id") + 1).alias("product"), F.lit(0.9).alias("score"), F.array("id").alias("reactants"))
+    stock, top = spark.createDataFrame([(0,)], "k long"), spark.createDataFrame([(0,)], "k long")
+    done = graph.solved(rules, stock)
+    assert done.count() == 71
+    assert graph.closure(rules, top).count() == 70
+    best = routes.cheapest_rules(rules, done, stock)
+    assert routes.walk(best, rules, spark.createDataFrame([(70,)], "target long")).count() == 70

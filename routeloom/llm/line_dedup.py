@@ -47,9 +47,9 @@ MASK = (1 << 31) - 1
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, place, x): every line with a word; mark is the hash of its text."""
-    # the hash before the lines, or else every line would carry its whole text
+    # the hash before the lines, or else every line would carry its whole text; outer, or else Spark splits twice to leave out texts without lines, of which there are none
     whole = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split(F.coalesce("text", F.lit("")), "\n").alias("xs"))
-    every = whole.select("doc_id", "mark", F.posexplode("xs").alias("place", "x"))
+    every = whole.select("doc_id", "mark", F.posexplode_outer("xs").alias("place", "x"))
     return every.where(F.length(F.btrim("x", F.lit(BLANKS))) > 0)
 
 
@@ -198,11 +198,11 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """(h1, h2): hashes of the distinct lines that have a nearly equal line (not an equal one) before them."""
     own, f = lines(docs), occurrence(docs)
     distinct = own.groupBy("x").agg(F.min(f).alias("f")).select(F.xxhash64("x").alias("id"), "f", F.transform(words_of(F.col("x")), lambda w: F.xxhash64(w)).alias("w"))
-    # keys in a projection of their own, which Spark can evaluate in parts
-    index = distinct.select("id", "f", index_keys(F.col("w"), levels).alias("ks")).select("id", "f", F.explode("ks").alias("k"))
+    # keys in a projection of their own, which Spark can evaluate in parts; outer, or else it would also evaluate them below the shuffle, to leave out lines without any
+    index = distinct.select("id", "f", index_keys(F.col("w"), levels).alias("ks")).select("id", "f", F.explode_outer("ks").alias("k")).where("k IS NOT NULL")
     leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.min("f").alias("fb"), F.count(F.lit(1)).alias("of")).withColumnRenamed("k", "key")
     # f is asked for on this side too, so that both read the same shuffle of the distinct lines
-    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), probe_keys(F.col("w"), levels).alias("ks")).select("a", F.explode("ks").alias("k")).where("k IS NOT NULL")
+    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), probe_keys(F.col("w"), levels).alias("ks")).select("a", F.explode_outer("ks").alias("k")).where("k IS NOT NULL")
     with small_methods(docs.sparkSession):
         met = stage(lambda: probe.join(leaders, (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "fb", "of"))
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()

@@ -158,8 +158,8 @@ dsh AS (
   SELECT doc_id, w, k, p, array_to_string(w[p + 1:p + k], ' ') AS s
   FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM bn) WHERE len(w) >= k)),
 hit AS (SELECT doc_id, n, k, any_value(w) AS w, count(DISTINCT p) AS c FROM dsh JOIN ish USING (k, s) GROUP BY doc_id, n, k),
-at AS (SELECT doc_id, n, w, unnest(range(0, greatest(0, len(w) - n) + 1)) AS f FROM hit WHERE 180 * c >= 80 * (least(n, len(w)) - k + 1 + n - k + 1)),
-win AS (SELECT doc_id, n, f, w[f + 1:f + n] AS x FROM at),
+places AS (SELECT doc_id, n, w, unnest(range(0, greatest(0, len(w) - n) + 1)) AS f FROM hit WHERE 180 * c >= 80 * (least(n, len(w)) - k + 1 + n - k + 1)),
+win AS (SELECT doc_id, n, f, w[f + 1:f + n] AS x FROM places),
 ws AS (
   SELECT doc_id, n, f, s, count(*) AS c
   FROM (SELECT doc_id, n, f, array_to_string(x[i:i + least(len(x), 5) - 1], ' ') AS s

@@ -79,3 +79,23 @@ def test_clean_keeps_other_texts_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
     kept = d.clean(docs, spark.createDataFrame([(7, text)], "item_id long, text string"))
     assert sorted(r.row for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs.columns
+
+
+def test_fingerprints_keep_nine_tenths(spark):
+    """Of random edits of items that stay at a similarity of 0.8 or more, those within the radius: at least 0.9, measured against all."""
+    rnd = random.Random(11)
+    items = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(rnd.choice([30, 60, 120])))) for i in range(12)]
+    rows = []
+    for i, text in items:
+        for _ in range(8):
+            w = text.split()
+            for _ in range(rnd.randrange(1, 2 + len(w) // 40)):
+                w[rnd.randrange(len(w))] = "changed"
+            if rnd.random() < 0.5:  # parts exchanged
+                k = rnd.randrange(len(w))
+                w = w[k:] + w[:k]
+            rows.append((len(rows), " ".join(["before"] * 7 + w + ["after"] * 9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found, every = (d.matches(docs, bench, radius=r).select("doc_id", "item_id").distinct().count() for r in (d.RADIUS, 63))
+    assert every >= 60 and found >= 0.9 * every

@@ -16,8 +16,8 @@ part, so copies make no pairs.
 Every line is first compared with one line alone, the earliest that shares a key
 with it, which settles a group of near copies in as many pairs as it has lines.
 Lines without an earlier partner so far then meet the earliest line of each of
-their keys, and at last the other lines of their keys, as far as bitmaps of their
-words allow the distance. Pairs are verified by the banded
+their keys; what is still open asks, by a semi join, whether some other line of
+its keys is near and comes before it. Bitmaps of the words rule out most pairs. Pairs are verified by the banded
 bit-parallel edit distance, on what is left of both lines without their common
 beginning and end. All of it is DataFrame expressions.
 
@@ -180,13 +180,22 @@ def is_near(a: Column, b: Column, distance: int) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda u: rest(u, lambda v: rest(v, decide)))
 
 
+def is_near_by_level(a: Column, b: Column, levels=LEVELS) -> Column:
+    """Whether arrays a (not shorter) and b are within the distance that the number of words allows."""
+    t, near = allowed(F.size(a), levels), F.lit(False)
+    for _, d in levels:
+        near = F.when(t == d, is_near(a, b, d)).otherwise(near)
+    return (F.size(a) - F.size(b) <= t) & near
+
+
 def within(pairs: DataFrame, levels=LEVELS) -> DataFrame:
     """Of rows with words wa (not fewer) and wb, those within the distance that the number of words allows."""
-    t = allowed(F.size("wa"), levels)
-    near = F.lit(False)
-    for _, d in levels:
-        near = F.when(t == d, is_near(F.col("wa"), F.col("wb"), d)).otherwise(near)
-    return pairs.where((F.size("wa") - F.size("wb") <= t) & near)
+    return pairs.where(is_near_by_level(F.col("wa"), F.col("wb"), levels))
+
+
+def may_be_near(levels=LEVELS) -> Column:
+    """Whether the bitmaps of lines a and b allow their distance: an edit changes two bits at most."""
+    return F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels)
 
 
 def bitmap(w: Column) -> Column:
@@ -213,8 +222,7 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     def later(pairs: DataFrame) -> DataFrame:
         """(id, h2) of the later line of each pair (a, b) that is near."""
         a, b = (texts.select(*[F.col(x).alias(x + c) for x in ("f", "n", "bits", "w", "h2")], F.col("id").alias(c)) for c in "ab")
-        few = F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels)
-        both = pairs.join(a, "a").join(b, "b").where(few)
+        both = pairs.join(a, "a").join(b, "b").where(may_be_near(levels))
         turned = F.col("na") < F.col("nb")
         both = both.select("a", "b", "fa", "fb", "h2a", "h2b", F.when(turned, F.col("wb")).otherwise(F.col("wa")).alias("wa"), F.when(turned, F.col("wa")).otherwise(F.col("wb")).alias("wb"))
         second = F.col("fa") > F.col("fb")
@@ -234,13 +242,16 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     others = led.select("a", "b", "fb").distinct().join(first.withColumnRenamed("b", "was"), "a").where("b <> was").drop("was")
     others = stage(lambda: others.join(light, (F.col("a") == F.col("ida")) & open_).select("a", "b"))
     settled = stage(lambda: settled.unionByName(later(others)).distinct())
-    # keys of several lines: what is not settled yet meets the others
-    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(known(settled), "id"))
-    a, b = (rows.select("k", *[F.col(x).alias(x + c) for x in ("id", "f", "n", "bits", "done")], *(["leader"] if c == "a" else [])) for c in "ab")
-    open_ = ~F.when(F.col("fa") > F.col("fb"), F.col("donea")).otherwise(F.col("doneb"))
-    fits = (F.col("ida") < F.col("idb")) & (F.col("ida") != F.col("leader")) & (F.col("idb") != F.col("leader")) & (F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= 2 * allowed(F.greatest("na", "nb"), levels))
-    pairs = stage(lambda: a.join(b.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & fits & open_).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
-    return settled.unionByName(later(pairs)).select(F.col("id").alias("h1"), "h2").distinct()
+    # keys of several lines: a line that is not settled yet asks whether some other line of its keys comes before it and is near
+    lone = texts.join(settled.select("id").distinct(), "id", "left_anti").select("id")
+    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(texts, "id"))
+    a = rows.join(lone, "id").select("k", "id", "h2", "leader", *[F.col(x).alias(x + "a") for x in ("f", "n", "bits", "w")])
+    b = rows.select(F.col("k").alias("key"), F.col("id").alias("other"), *[F.col(x).alias(x + "b") for x in ("f", "n", "bits", "w")])
+    fits = (F.col("k") == F.col("key")) & (F.col("fb") < F.col("fa")) & (F.col("other") != F.col("leader")) & may_be_near(levels)
+    longer, shorter = (F.when((F.col("na") >= F.col("nb")) == first, F.col("wa")).otherwise(F.col("wb")) for first in (True, False))
+    near = let(F.struct(longer.alias("a"), shorter.alias("b")), lambda v: is_near_by_level(v["a"], v["b"], levels))
+    more = stage(lambda: a.join(b, fits & near, "left_semi").select("id", "h2"))
+    return settled.unionByName(more).select(F.col("id").alias("h1"), "h2").distinct()
 
 
 def removed(docs: DataFrame, levels=LEVELS) -> DataFrame:

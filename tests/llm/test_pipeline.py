@@ -25,6 +25,8 @@ def tables(spark, tmp_path_factory):
         if i % 7 == 3 and rows:
             body = rows[rnd.randrange(len(rows))][1].split("\n")
             body[0] = " ".join([*body[0].split()[:-1], "changedword", "anotherword"])
+        if i % 7 == 5:  # the words of another document in other lines
+            body = [rows[i // 2][1].replace("\n", " ")]
         bad = i % 5 == 2
         text = "\n".join(body)
         rows.append((i * 2, " ".join(w + "%%%" for w in text.split()) if bad else text, "en", "src", len(text)))

@@ -60,6 +60,12 @@ def dual_features(r: Column, p: Column) -> Column:
     return F.concat(r, p, F.zip_with(p, r, lambda a, b: a - b), F.zip_with(p, r, lambda a, b: a * b))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero; a zero keeps the sign of x, which F.round drops and IEEE 754 and SQL engines keep."""
+    out = F.round(x, digits)
+    return F.when(out == 0, x * F.lit(0.0)).otherwise(out)
+
+
 def conditions_empty(conditions: Column) -> Column:
     """Whether a reaction's conditions (solvent, temperature_c, reagent, extra map) say nothing; a null record says nothing."""
     named = [conditions[c].isNull() for c in ("solvent", "temperature_c", "reagent")]

@@ -157,7 +157,7 @@ SELECT vec_id, list_transform(list_concat(list_concat(r, p), list_concat(list_tr
 def dual_tower_features(spark, sf_dir):
     e = P.logits(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("r"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("r").alias("p")), "vec_id")
-    return pairs.select("vec_id", F.transform(T.dual_features(F.col("r"), F.col("p")), lambda x: F.round(x, 6)).alias("features"))
+    return pairs.select("vec_id", F.transform(T.dual_features(F.col("r"), F.col("p")), lambda x: T.rounded(x, 6)).alias("features"))
 
 
 @query("SELECT vec_id, list_transform(range(0, 9), lambda i: (CASE WHEN label = i OR (i = 8 AND label NOT BETWEEN 0 AND 7) THEN 1 ELSE 0 END)::INTEGER) AS hot FROM embeddings")

@@ -20,3 +20,13 @@ def test_search_takes_every_part(spark):
         rows = catalog.QUERIES[name](spark, SF).collect()
         assert len(rows) == len(parts) and {r.target for r in rows} == parts, name
     assert {r.target for r in catalog.QUERIES["route_trees"](spark, SF).select("target").distinct().collect()} == parts
+
+
+def test_signs_of_zeros(spark):
+    """compare() takes -0.0 for 0.0; the SQL does not."""
+    from compare import oracle_rows
+
+    for sf_dir in (SF, SF.replace("0.001", "0.01")):
+        got = {r.vec_id: repr([x for x in r.features]) for r in catalog.QUERIES["dual_tower_features"](spark, sf_dir).collect()}
+        want = {k: repr(x) for k, x in oracle_rows(catalog.ORACLE["dual_tower_features"], sf_dir)[2]}
+        assert got == want and any("-0.0," in x for x in want.values())

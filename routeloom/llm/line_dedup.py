@@ -7,19 +7,22 @@ when an equal or nearly equal line comes earlier: in a document with a smaller
 id, or further up in its own. Lines without a word stay.
 
 Nearly equal lines are found by a segment-partition join. For distance t, a line
-of n words is split into t + 1 segments, one of which any line within t must
-contain unchanged; it is looked up among the other line's runs of words at the
-places and for the lengths that the distance allows (multi-match-aware
-selection), as hashes of (t, length, segment, words). Only distinct lines take
-part, so copies make no pairs.
-
-Every line is first compared with one line alone, the earliest that shares a key
-with it, which settles a group of near copies in as many pairs as it has lines.
-Lines without an earlier partner so far then meet the earliest line of each of
-their keys; what is still open asks, by a semi join, whether some other line of
-its keys is near and comes before it. Bitmaps of the words rule out most pairs. Pairs are verified by the banded
-bit-parallel edit distance, on what is left of both lines without their common
-beginning and end. All of it is DataFrame expressions.
+has t + 1 segments at places that only depend on a bucket of its length; of two
+lines within t, one segment of the one is found in the other, moved by as many
+words as edits fit on its nearer side (multi-match-aware selection). So every
+line gives the runs of words at those places, as hashes of (t, bucket, segment,
+words), and a line of which shorter partners are of another bucket also those of
+that bucket. Lines meet under equal keys. Equal lines make no pairs.
+
+Every line is first compared with one line alone, a leader: a line of the first
+document that shares a key with it. That settles a group of near copies in about
+as many pairs as it has lines. Lines without an earlier partner so far then meet
+the leaders of their other keys; what is still open asks, by a semi join, whether
+some other line of its keys is near and comes before it. Bitmaps of the words
+rule out most pairs. Pairs are verified on what is left of both lines without
+their common beginning and end, where both ends take an edit: for distances of
+two at most by comparing what lies between, beyond by the banded bit-parallel
+edit distance. All of it is DataFrame expressions.
 
 Defined results: a null or empty text has no lines with a word and stays as it
 is; ids may be of any type that sorts, a null doc_id comes after all others;
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, small_methods, stage, table
+from .common import SPACE, ordered_id, small_methods, stage, table
 
 #: (words of the longer line, distance that is allowed from there on).
 LEVELS = ((10, 1), (20, 2))
@@ -46,25 +49,47 @@ MASK = (1 << 31) - 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, place, x): every line with a word; mark is the hash of its text."""
+    """(doc_id, mark, base, place, x): every line with a word; mark is the hash of its text, base what occurrence() needs of the document."""
     # the hash before the lines, or else every line would carry its whole text; outer, or else Spark splits twice to leave out texts without lines, of which there are none
     whole = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split(F.coalesce("text", F.lit("")), "\n").alias("xs"))
-    every = whole.select("doc_id", "mark", F.posexplode_outer("xs").alias("place", "x"))
-    return every.where(F.length(F.btrim("x", F.lit(BLANKS))) > 0)
+    every = whole.select("doc_id", "mark", _base(docs).alias("base"), F.posexplode_outer("xs").alias("place", "x"))
+    return every.where(has_word(F.col("x")))
+
+
+def _base(docs: DataFrame) -> Column:
+    """Of whole ids, the number of a document's place 0; decimals are slow, so it is worked out once a document."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.lit(None).cast("decimal(38,0)")
+    step = lambda x, y: (x * F.lit(MASK + 1).cast("decimal(10,0)") + y).cast("decimal(38,0)")
+    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return step(step(number, F.col("mark").bitwiseAND(F.lit(MASK)).cast("decimal(10,0)")), F.lit(0).cast("decimal(10,0)"))
 
 
 def occurrence(docs: DataFrame) -> Column:
     """What orders lines: id (null last), hash of the text, place. A number for whole ids, so that its least can be kept by hash aggregation."""
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
-        whole = lambda c: F.col(c).bitwiseAND(F.lit(MASK)).cast("decimal(10,0)") if c == "mark" else F.col(c).cast("decimal(10,0)")
-        number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-        step = lambda x, y: (x * F.lit(MASK + 1).cast("decimal(10,0)") + y).cast("decimal(38,0)")
-        return step(step(number, whole("mark")), whole("place"))
+        return (F.col("base") + F.col("place").cast("decimal(10,0)")).cast("decimal(38,0)")
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "place")
 
 
+def document_order(docs: DataFrame) -> Column:
+    """What orders documents by id (null last): a long for whole ids, which is cheaper than occurrence()."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return ordered_id()
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+
+
+def has_word(x: Column) -> Column:
+    """Whether anything is not blank; trimmed on the left only, since Spark looks at every character to trim on the right."""
+    return F.ltrim(x, F.lit(BLANKS)) != ""
+
+
 def words_of(x: Column) -> Column:
-    return F.split(F.btrim(x, F.lit(BLANKS)), SPACE)
+    """Words of a line; where single blanks stand between them, the usual case, no regular expression is needed."""
+    odd = F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
+    for blank in ("  ", *BLANKS[1:]):
+        odd |= F.contains(x, F.lit(blank))
+    return F.when(odd, F.split(F.btrim(x, F.lit(BLANKS)), SPACE)).otherwise(F.split(x, " "))
 
 
 def allowed(n: Column, levels=LEVELS) -> Column:
@@ -75,43 +100,38 @@ def allowed(n: Column, levels=LEVELS) -> Column:
     return out
 
 
-def _edge(n: Column, i: int, parts: int) -> Column:
-    """Where segment i begins (from 0) in a line of n words."""
-    return F.floor(n * i / parts).cast("int")
-
-
-def _key(w: Column, t: int, n: Column, i: int, start: Column, size: Column) -> Column:
-    """Hash of a distance, a line's length, a segment's number and the words (as hashes) of the line from start (from 0)."""
-    return F.xxhash64(n, F.lit(i * 64 + t), F.slice(w, start + 1, size))
+def _bucket(n: Column, least: int) -> Column:
+    """The largest of some lengths (two from a power of two to the next, ``least`` and more) that n words are not below."""
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n)) - 2, F.lit(0)))
+    return F.greatest(n - n % width, F.lit(least))
 
 
-def index_keys(w: Column, levels=LEVELS) -> Column:
-    """Keys of a line's own segments, for every distance that a partner of this length or longer may have."""
+def _runs(w: Column, t: int, length: Column) -> Column:
+    """Hashes of the runs of words that may be a segment of a line within t: nulls where there is none. ``length`` is a bucket, and not above the number of words."""
     n, out = F.size(w), []
+    for i in range(t + 1):
+        at, after = (F.floor(length * j / (t + 1)).cast("int") for j in (i, i + 1))
+        size = after - at
+        # from the line's beginning or its end, whichever has fewer edits on its side
+        start, reach = (at, i) if i <= t - i else (n - length + at, t - i)
+        for shift in range(-reach, reach + 1):
+            key = F.xxhash64(length, F.lit(i * 64 + t), F.slice(w, start + shift + 1, size))
+            out.append(key if shift == 0 else F.when((start + shift >= 0) & (start + shift + size <= n), key))
+    return F.array(*out)
+
+
+def line_keys(w: Column, levels=LEVELS) -> Column:
+    """Keys of a line, of which any two lines within their distance share one; nulls where there is none."""
+    n, none, keys = F.size(w), F.array().cast("array<bigint>"), []
     for k, (least, t) in enumerate(levels):
-        last = levels[k + 1][0] - 1 if k + 1 < len(levels) else None
-        own = F.array(*[_key(w, t, n, i, _edge(n, i, t + 1), _edge(n, i + 1, t + 1) - _edge(n, i, t + 1)) for i in range(t + 1)])
-        fits = n >= least - t if last is None else (n >= least - t) & (n <= last)
-        out.append(F.when(fits, own).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*out)
-
-
-def probe_keys(w: Column, levels=LEVELS) -> Column:
-    """Keys of the runs of words that may be a segment of a line as long as this one or shorter, by its distance at most; nulls where there is none. All keys of index_keys() are among them."""
-    n, keys = F.size(w), F.array().cast("array<bigint>")
-    for least, t in levels:
-        out = []
-        for less in range(t + 1):
-            m = n - less
-            for i in range(t + 1):
-                at, size = _edge(m, i, t + 1), _edge(m, i + 1, t + 1) - _edge(m, i, t + 1)
-                for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                    start = at + shift
-                    key = _key(w, t, m, i, start, size)
-                    out.append(key if shift == 0 else F.when((start >= 0) & (start + size <= n), key))
-        own = F.array(*[_key(w, t, n, i, _edge(n, i, t + 1), _edge(n, i + 1, t + 1) - _edge(n, i, t + 1)) for i in range(t + 1)])
-        keys = F.when(n >= least, F.array(*out)).when(n >= least - t, F.concat(keys, own)).otherwise(keys)
-    return keys
+        low, fits = max(least - t, 0), n >= least - t
+        if k + 1 < len(levels):
+            fits &= n < levels[k + 1][0]
+        keys.append(F.when(fits, _runs(w, t, _bucket(n, low))).otherwise(none))
+        for less in range(1, t + 1):  # of shorter lines, where these are of another bucket
+            length = _bucket(n - less, low)
+            keys.append(F.when(fits & (n >= least) & (n >= less) & (length != _bucket(n - less + 1, low)), _runs(w, t, length)).otherwise(none))
+    return F.concat(*keys)
 
 
 def let(value: Column, then) -> Column:
@@ -161,8 +181,23 @@ def banded_distance(p: Column, q: Column, distance: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), start, step, lambda s: s["d"])
 
 
+def ends_differ(p: Column, q: Column, distance: int) -> Column:
+    """Whether p and q, of which both the first and the last elements differ, are within the distance; p is not shorter and longer than ``distance``.
+
+    Both ends take an edit, so one edit never does, and of two edits what lies between is equal.
+    """
+    if distance > 2:
+        return banded_distance(p, q, distance) <= distance
+    if distance < 2:
+        return F.lit(False)
+    n, m = F.size(p), F.size(q)
+    # an edit at an end leaves out an element of p, of q or of both
+    same = lambda x1, y1, x2, y2: F.slice(p, 1 + x1, n - x1 - y1) == F.slice(q, 1 + x2, m - x2 - y2)
+    return F.when(n == m, same(1, 1, 1, 1) | same(1, 0, 0, 1) | same(0, 1, 1, 0)).when(n == m + 1, same(1, 1, 1, 0) | same(1, 1, 0, 1)).otherwise(same(1, 1, 0, 0))
+
+
 def is_near(a: Column, b: Column, distance: int) -> Column:
-    """Whether arrays a (not shorter) and b are within the distance: exactly the banded distance of what their common beginning and end leave.
+    """Whether arrays a (not shorter) and b are within the distance: decided exactly on what their common beginning and end leave.
 
     All steps are bound by lambdas, since the optimizer would put an alias's
     expression wherever its name stands, also within the loops.
@@ -175,7 +210,7 @@ def is_near(a: Column, b: Column, distance: int) -> Column:
 
     def decide(v: Column) -> Column:
         n, m = F.size(v["a"]), F.size(v["b"])
-        return F.when(n <= distance, True).when((n - m > distance) | (m == 0), False).otherwise(banded_distance(v["a"], v["b"], distance) <= distance)
+        return F.when(n <= distance, True).when((n - m > distance) | (m == 0), False).otherwise(ends_differ(v["a"], v["b"], distance))
 
     return let(F.struct(a.alias("a"), b.alias("b")), lambda u: rest(u, lambda v: rest(v, decide)))
 
@@ -206,16 +241,16 @@ def bitmap(w: Column) -> Column:
 def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """(h1, h2): hashes of the distinct lines that have a nearly equal line (not an equal one) before them."""
     own, f = lines(docs), occurrence(docs)
-    distinct = own.groupBy("x").agg(F.min(f).alias("f")).select(F.xxhash64("x").alias("id"), "f", F.transform(words_of(F.col("x")), lambda w: F.xxhash64(w)).alias("w"))
-    # keys in a projection of their own, which Spark can evaluate in parts; outer, or else it would also evaluate them below the shuffle, to leave out lines without any
-    index = distinct.select("id", "f", index_keys(F.col("w"), levels).alias("ks")).select("id", "f", F.explode_outer("ks").alias("k")).where("k IS NOT NULL")
-    leaders = index.groupBy("k").agg(F.min_by("id", "f").alias("b"), F.min("f").alias("fb"), F.count(F.lit(1)).alias("of")).withColumnRenamed("k", "key")
-    # f is asked for on this side too, so that both read the same shuffle of the distinct lines
-    probe = distinct.where("f IS NOT NULL").select(F.col("id").alias("a"), probe_keys(F.col("w"), levels).alias("ks")).select("a", F.explode_outer("ks").alias("k")).where("k IS NOT NULL")
+    # keys in a projection of their own, which Spark can evaluate in parts; outer, or else it would evaluate them twice, to leave out lines without any
+    split = own.select(F.xxhash64("x").alias("id"), document_order(docs).alias("o"), words_of(F.col("x")).alias("w"))
+    keys = split.select("id", "o", line_keys(F.col("w"), levels).alias("ks")).select("id", "o", F.explode_outer("ks").alias("k")).where("k IS NOT NULL AND o IS NOT NULL").repartition("k")
+    # leaders are lines of the first documents with keys of several lines
+    leaders = keys.groupBy("k").agg(F.min_by("id", "o").alias("b"), F.min("o").alias("ob"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select(F.col("k").alias("key"), "b", "ob")
     with small_methods(docs.sparkSession):
-        met = stage(lambda: probe.join(leaders, (F.col("k") == F.col("key")) & ((F.col("a") != F.col("b")) | (F.col("of") > 1))).select("k", "a", "b", "fb", "of"))
-    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        # o is asked for on this side too, so that both read the same shuffle
+        met = stage(lambda: keys.join(leaders.hint("shuffle_hash"), (F.col("k") == F.col("key")) & (F.col("id") != F.col("b")) & (F.col("ob") <= F.col("o"))).groupBy("k", F.col("id").alias("a"), "b", "ob").agg(F.min("o").alias("oa")).hint("rebalance"))
+    ids = stage(lambda: met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct())
+    few = ids.count() <= BROADCAST_IDS
     texts = own.withColumn("id", F.xxhash64("x")).join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id", "x").agg(F.min(f).alias("f"))
     texts = stage(lambda: texts.withColumn("w", words_of(F.col("x"))).select("id", "f", F.size("w").alias("n"), bitmap(F.col("w")).alias("bits"), "w", F.xxhash64(F.lit(1), "x").alias("h2")))
 
@@ -228,26 +263,19 @@ def near_later(docs: DataFrame, levels=LEVELS) -> DataFrame:
         second = F.col("fa") > F.col("fb")
         return within(both, levels).select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(second, F.col("h2a")).otherwise(F.col("h2b")).alias("h2")).distinct()
 
-    def known(settled: DataFrame) -> DataFrame:
-        """(id, f, n, bits, done): the lines, and which are known to have a near line before them."""
-        done = settled.select("id").distinct().withColumn("done", F.lit(True))
-        return texts.select("id", "f", "n", "bits").join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-
-    # one pair a line, with the earliest leader of its keys; then its other leaders, unless the later line is settled
-    led = met.where("a <> b")
-    first = led.groupBy("a").agg(F.min_by("b", "fb").alias("b"))
+    # one pair a line, with the first leader of its keys; then its other leaders, unless the later line is settled
+    first = met.groupBy("a").agg(F.min(F.struct("ob", "b"))["b"].alias("b"))
     settled = stage(lambda: later(first))
-    light = known(settled).withColumnsRenamed({"id": "ida", "f": "fa"}).select("ida", "fa", "done")
-    open_ = ~(F.col("done") & (F.col("fa") > F.col("fb")))
-    others = led.select("a", "b", "fb").distinct().join(first.withColumnRenamed("b", "was"), "a").where("b <> was").drop("was")
-    others = stage(lambda: others.join(light, (F.col("a") == F.col("ida")) & open_).select("a", "b"))
+    done = settled.select(F.col("id").alias("a")).distinct().withColumn("done", F.lit(True))
+    others = met.select("a", "b", "oa", "ob").distinct().join(first.withColumnRenamed("b", "was"), "a").where("b <> was").join(done, "a", "left").where("done IS NULL OR oa <= ob")
+    others = stage(lambda: others.select("a", "b"))
     settled = stage(lambda: settled.unionByName(later(others)).distinct())
     # keys of several lines: a line that is not settled yet asks whether some other line of its keys comes before it and is near
     lone = texts.join(settled.select("id").distinct(), "id", "left_anti").select("id")
-    rows = stage(lambda: met.where("of > 1").select("k", F.col("a").alias("id"), F.col("b").alias("leader")).distinct().join(texts, "id"))
-    a = rows.join(lone, "id").select("k", "id", "h2", "leader", *[F.col(x).alias(x + "a") for x in ("f", "n", "bits", "w")])
+    rows = stage(lambda: met.select("k", F.col("a").alias("id")).join(texts, "id"))
+    a = rows.join(lone, "id").select("k", "id", "h2", *[F.col(x).alias(x + "a") for x in ("f", "n", "bits", "w")])
     b = rows.select(F.col("k").alias("key"), F.col("id").alias("other"), *[F.col(x).alias(x + "b") for x in ("f", "n", "bits", "w")])
-    fits = (F.col("k") == F.col("key")) & (F.col("fb") < F.col("fa")) & (F.col("other") != F.col("leader")) & may_be_near(levels)
+    fits = (F.col("k") == F.col("key")) & (F.col("fb") < F.col("fa")) & may_be_near(levels)
     longer, shorter = (F.when((F.col("na") >= F.col("nb")) == first, F.col("wa")).otherwise(F.col("wb")) for first in (True, False))
     near = let(F.struct(longer.alias("a"), shorter.alias("b")), lambda v: is_near_by_level(v["a"], v["b"], levels))
     more = stage(lambda: a.join(b, fits & near, "left_semi").select("id", "h2"))
@@ -282,19 +310,18 @@ def _applied(docs: DataFrame, levels) -> DataFrame:
     """(row, places, n_near): the rows of docs as structs, with what is removed."""
     gone = removed(docs, levels)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark")), "left").select("row", "places", "n_near")
+    return rows.join(gone.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark")), "left").select("row", "places", "n_near")
 
 
 def clean(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """docs with the text that is left; documents of which nothing with a word is left, though there was, are dropped."""
     out = _applied(docs, levels).withColumn("left", kept(F.col("row.text"), F.col("places")))
-    blank = F.length(F.btrim("left", F.lit(BLANKS))) == 0
-    return out.where(F.col("places").isNull() | ~blank).select(*[(F.col("left") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.where(F.col("places").isNull() | has_word(F.col("left"))).select(*[(F.col("left") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame, levels=LEVELS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near and kept_sha256 of each row."""
-    n_lines = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+    n_lines = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), has_word))
     size = F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")
     text = F.coalesce(kept(F.col("row.text"), F.col("places")), F.lit(""))
     return _applied(docs, levels).select("row.doc_id", n_lines.cast("long").alias("n_lines"), size.alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(text, 256).alias("kept_sha256"))

@@ -113,3 +113,27 @@ def test_any_id(spark):
     line = " ".join(f"w{i}" for i in range(12))
     check(spark, [("b", line), ("a", line + " x"), ("é", line + "\nnew")], kind="string")
     check(spark, [(2, line), (-1, line + " x")], kind="smallint")
+
+
+def test_keys(spark):
+    """Lines within their distance share a key, whatever their lengths; a line has few keys."""
+    rnd = random.Random(5)
+    pairs = []
+    for n in [*range(9, 50), 62, 63, 64, 65, 66, 127, 128, 129, 200]:
+        for _ in range(12):
+            a = [f"{rnd.choice('abc')}{rnd.randrange(4)}" for _ in range(n)]
+            b = edited(rnd, a, rnd.randrange(1, 3))
+            if near(" ".join(a), " ".join(b)):
+                pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    sized = df.select(F.filter(l.line_keys(F.col("a")), lambda k: k.isNotNull()).alias("ka"), F.filter(l.line_keys(F.col("b")), lambda k: k.isNotNull()).alias("kb"), F.size("a").alias("n")).cache()
+    assert len(pairs) > 300 and sized.where(~F.arrays_overlap("ka", "kb")).count() == 0
+    # 15 rows a line of 20 words or more before: 12 to ask and 3 to be found
+    assert sized.where("size(ka) > 12").count() == 0 and sized.where("n >= 20").agg(F.avg(F.size("ka"))).first()[0] < 7
+
+
+def test_words(spark):
+    lines = ["a b c", " a b", "a b ", "a  b", "a\tb", "a \x0b b", "\x0ca\r", "é 日 x", "a\x85b", "a", "\x1ca b"]
+    df = spark.createDataFrame([(x,) for x in [*lines, "", " ", "\t \r", " x"]], "x string")
+    assert {r.x: r.w for r in df.limit(len(lines)).select("x", l.words_of(F.col("x")).alias("w")).collect()} == {x: [w.decode() for w in x.encode().split()] for x in lines}
+    assert sorted(r.x for r in df.where(l.has_word(F.col("x"))).collect()) == sorted([*lines, " x"])

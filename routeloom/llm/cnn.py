@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 from .sample import bucket, labelled
 
 #: Filters, their width in bytes, half a chunk, hidden units.
@@ -214,7 +214,10 @@ def accept(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> Dat
     def run(batches):
         for b in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(model.score(texts) >= threshold))
+            kept = b.filter(pa.array(model.score(texts) >= threshold))
+            del texts, b
+            give_back()
+            yield kept
 
     return docs.mapInArrow(run, docs.schema)
 

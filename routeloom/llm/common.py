@@ -54,6 +54,30 @@ def stage(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed; it is used again for later tasks, and would hold that memory beside its executor meanwhile."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` of a table, after which the worker gives back what it has freed."""
+
+    def both(rows):
+        try:
+            return run(rows)
+        finally:
+            give_back()
+
+    return both
+
+
 @contextmanager
 def small_methods(spark: SparkSession) -> Iterator[None]:
     """While it lasts, generated methods too long for Java's compiler are not used: Spark then evaluates their expressions in parts, which is several times faster."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import by_part, kind_of, pack, pack_sorted, summed, text_blocks, texts_of, unpack, unpack_sorted
-from .common import stage, table
+from .common import giving_back, stage, table
 from .components import components
 from .hashing import BASES, U, Words, rolling
 
@@ -124,8 +124,8 @@ def _shared(blocks: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
         # counts only order the shingles, so large ones may be equal
         return pa.table([rows["block"], rows["part"], pa.array([pack(np.minimum(c, MOST).astype(np.uint16)) for c in counts], pa.binary())], ["block", "part", "counts"])
 
-    asked = _chosen(blocks, classes).groupBy("block").applyInArrow(ask, "block long, part int, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, "block long, part int, counts binary")
+    asked = _chosen(blocks, classes).groupBy("block").applyInArrow(giving_back(ask), "block long, part int, keys binary, counts binary")
+    return asked.groupBy("part").applyInArrow(giving_back(answer), "block long, part int, counts binary")
 
 
 def _survivors(blocks: DataFrame, classes: DataFrame, shared: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _survivors(blocks: DataFrame, classes: DataFrame, shared: DataFrame, percent
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["r", "n", "size", "cell", "s", "prefix"])
 
-    return _chosen(blocks, classes, shared).groupBy("block").applyInArrow(run, "r long, n long, size long, cell long, s binary, prefix binary")
+    return _chosen(blocks, classes, shared).groupBy("block").applyInArrow(giving_back(run), "r long, n long, size long, cell long, s binary, prefix binary")
 
 
 def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
         links, degree, _ = _search(rows, percent)
         return pa.table([pa.array([x[0] for x in links + degree], pa.int64()), pa.array([x[1] for x in links] + [None] * len(degree), pa.int64()), pa.array([0] * len(links) + [x[1] for x in degree], pa.int64())], ["a", "b", "k"])
 
-    return roles.join(sets.select("r", "n", "s"), "r").groupBy("p", "sub", "chunk").applyInArrow(run, "a long, b long, k long")
+    return roles.join(sets.select("r", "n", "s"), "r").groupBy("p", "sub", "chunk").applyInArrow(giving_back(run), "a long, b long, k long")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -301,7 +301,8 @@ def _joined(docs: DataFrame, percent: int) -> DataFrame:
     edges = found.where("b IS NOT NULL").select("a", "b")
     degree = found.groupBy("a").agg(F.sum("k").alias("n_links")).withColumnRenamed("a", "r")
     linked = components(edges).select(F.col("node").alias("r"), "component")
-    at = classes.where("n > 0").join(linked, "r", "left").join(degree, "r", "left").withColumn("component", F.coalesce("component", "r"))
+    # read twice below: as a plan, every join of it would run as often, and its broadcasts fill the driver
+    at = stage(lambda: classes.where("n > 0").join(linked, "r", "left").join(degree, "r", "left").select("c", "c2", "n", "doc_id", F.coalesce("component", "r").alias("component"), "n_links"))
     # most components are one class
     several = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     at = at.join(several, "component").select("c", "c2", "n", "component", "component_id", F.col("doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -316,7 +317,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Of every component the rows of one document, that with the smallest id (a null id last, then by the text's hash), with all columns of docs."""
-    at = _joined(docs, PERCENT).select("component", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark").alias("key"))
+    at = stage(lambda: _joined(docs, PERCENT).select("component", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark").alias("key")))
     first = at.groupBy("component").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("component", "first")
     later = at.join(first, "component").where("key <> first").select("key").distinct()
     own = F.struct(docs["doc_id"].isNull().alias("x"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"))

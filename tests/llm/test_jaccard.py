@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -116,3 +119,33 @@ def test_very_long_and_hot(spark):
     long = [str(rnd.randrange(9)) for _ in range(30_000)]
     rows += [(1000, " ".join(long)), (1001, " ".join(long[:-2])), (1002, "w" * 300_000), (1003, "a " * 40_000)]
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
+
+
+def test_what_is_read_twice_is_worked_out_once(spark):
+    """Plans that are left once the links are known have few joins: their broadcasts are held by the driver."""
+    df = spark.createDataFrame(corpus(1), "doc_id long, text string")
+    for make, most in ((j.join, 2), (j.first_of_each, 2)):
+        plan = make(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") <= most, plan
+
+
+def test_workers_give_back_what_they_freed():
+    """In a process of its own: after a table's work is done, the memory of its lists isn't held any more."""
+    code = """
+import numpy, pyarrow, re
+from routeloom.llm.common import give_back, giving_back
+held = lambda: int(re.search(r"Rss:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+def work(n):
+    some = [bytes(1000) for _ in range(n)]
+    keep.append(some[-1])  # at the end of the heap, so that it doesn't shrink by itself
+    return n
+keep = []
+work(10), give_back()
+before = held()
+work(200_000)
+without = held() - before
+giving_back(work)(200_000)
+print(without, held() - before)
+"""
+    without, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(j.__file__).parents[2]).stdout.split())
+    assert without > 100 and after < 30, (without, after)

@@ -37,9 +37,19 @@ def _hash(w: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, at + j) for j in range(k)])
 
 
-def hashes(w: Column, k: int) -> Column:
-    """Hashes of all runs of k words of an array of k or more, in order."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda at: _hash(w, at, k))
+def _lower(text: Column) -> Column:
+    """lower_ascii() of a text; one without other characters is lower-cased by Spark's lower(), which then does the same several times faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))
+
+
+def hashes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, t, size, p, h): hashes of all runs of k words of each text, and where they begin; t is the text's hash, size its words.
+
+    Words are split once: a filter on them would be moved below and split them again. Runs are hashed row by row in generated code.
+    """
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), words(_lower(F.col("text"))).alias("w"))
+    d = d.select("doc_id", "t", "w", F.explode(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("p"))
+    return d.select("doc_id", "t", F.size("w").alias("size"), "p", _hash(F.col("w"), F.col("p"), k).alias("h"))
 
 
 def shingles(w: Column) -> Column:
@@ -91,43 +101,42 @@ def starts(places: Column, need: Column, span: Column, last: Column) -> Column:
 
 def windows(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, t, size, first, n, w): windows of n words of which enough shingles occur in items of n words; t is the text's hash, size its words."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("t"), words(lower_ascii(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     at = items.select("n", "k", "iw", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))).alias("q"))
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to SHINGLE
     found = None
     for k in sizes:
         index = at.where(F.col("k") == k).select(_hash(F.col("iw"), F.col("q"), k).alias("h"), "n").distinct()
         small = index.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-        places = d.where(F.size("w") >= k).select("doc_id", "t", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("p", "h"))
-        hit = places.join(F.broadcast(index) if small else index, "h")
+        hit = hashes(docs, k).join(F.broadcast(index) if small else index, "h")
         own, other = F.least(F.col("n"), F.col("size")) - k + 1, F.col("n") - k + 1
         hit = hit.groupBy("doc_id", "t", "size", "n").agg(F.array_sort(F.collect_set("p")).alias("ps")).withColumn("need", needed(own, other, percent))
         firsts = starts(F.col("ps"), F.col("need"), own, F.greatest(F.lit(0), F.col("size") - F.col("n")))
         hit = hit.select("doc_id", "t", "size", "n", firsts.alias("firsts")).where(F.size("firsts") > 0)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return d.where(F.lit(False)).select("doc_id", "t", F.lit(0).alias("size"), F.lit(0).alias("first"), F.lit(0).alias("n"), "w")
+        return d.where(F.lit(False)).select("doc_id", "t", F.lit(0).alias("size"), F.lit(0).alias("first"), F.lit(0).alias("n"), words(F.col("text")).alias("w"))
     found = stage(lambda: found.select(F.col("doc_id").alias("i"), F.col("t").alias("j"), "size", "n", "firsts"))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # light rows first; the words follow once the places are known
+    # light rows first; once the places are known, the words of those texts alone
     d = d.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("j")))
-    d = d.select("doc_id", "t", "size", "n", "w", F.explode("firsts").alias("first"))
+    d = d.select("doc_id", "t", "size", "n", words(_lower(F.col("text"))).alias("w"), "firsts").select("doc_id", "t", "size", "n", "w", F.explode("firsts").alias("first"))
     return d.select("doc_id", "t", "size", "first", "n", F.slice("w", F.col("first") + 1, F.col("n")).alias("w"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first, n_words, n_common, n_all): the most similar window of each document with each item it repeats."""
-    items = _items(benchmark)
+    # items are few rows of much work each; cut, or filters on what is made of them would be moved below and make it again in one task
+    known = stage(lambda: _items(benchmark).repartition(TASKS, "item_id").withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s"))).withColumn("c", counted(F.col("s"))))
+    items = known.select("item_id", "iw", "n", "k")
     marked = stage(lambda: windows(docs, items, percent).drop("t").withColumn("s", shingles(F.col("w"))).withColumn("f", simhash(F.col("s"))))
-    # items are few rows of much work each
-    known = items.repartition(TASKS, "item_id").withColumn("s", shingles(F.col("iw"))).withColumn("g", simhash(F.col("s")))
     probe = marked.select("n", "f", F.explode(blocks(F.col("f"), radius)).alias("x")).select("n", "f", "x.*").distinct()
     index = known.select("item_id", "n", "g", F.explode(blocks(F.col("g"), radius)).alias("x")).select("item_id", "n", "g", "x.*")
     near = probe.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select("n", "f", "item_id").distinct()
-    exact = known.select(F.col("item_id").alias("i"), counted(F.col("s")).alias("c"), F.col("s").alias("is"))
-    pair = marked.select("doc_id", "first", "size", "n", "f", "s", counted(F.col("s")).alias("a")).join(near, ["n", "f"]).join(exact, F.col("item_id").eqNullSafe(F.col("i")))
+    exact = known.select(F.col("item_id").alias("i"), "c")
+    pair = marked.select("doc_id", "first", "n", "f", counted(F.col("s")).alias("a")).join(near, ["n", "f"]).join(exact, F.col("item_id").eqNullSafe(F.col("i")))
     common = F.size(F.array_intersect("a", "c")).cast("long")
-    pair = pair.select("doc_id", "item_id", "first", "size", "s", "is", F.col("n").alias("n_words"), common.alias("n_common"), (F.size("a") + F.size("c")).cast("long").alias("both"))
+    pair = pair.select("doc_id", "item_id", "first", F.col("n").alias("n_words"), common.alias("n_common"), (F.size("a") + F.size("c")).cast("long").alias("both"))
     pair = pair.withColumn("n_all", F.col("both") - F.col("n_common")).where(F.col("n_common") * 100 >= F.col("n_all") * percent)
     best = F.max_by(F.struct("first", "n_words", "n_common", "n_all"), F.struct(F.col("n_common") / F.col("n_all"), -F.col("first"))).alias("x")
     return pair.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("x.first").cast("long").alias("first"), F.col("x.n_words").cast("long").alias("n_words"), "x.n_common", "x.n_all")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from routeloom.llm import decontaminate as d
 
 
@@ -99,3 +101,31 @@ def test_fingerprints_keep_nine_tenths(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found, every = (d.matches(docs, bench, radius=r).select("doc_id", "item_id").distinct().count() for r in (d.RADIUS, 63))
     assert every >= 60 and found >= 0.9 * every
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """Each pass over the documents splits a text once, the second only the texts of places found, and items are worked out once."""
+    plans, real = [], d.stage
+
+    def recorded(make):
+        df = make()
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(lambda: df)
+
+    monkeypatch.setattr(d, "stage", recorded)
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "clean")], "doc_id long, text string")
+    out = d.matches(docs, spark.createDataFrame([(7, text)], "item_id long, text string"))
+    assert [tuple(r) for r in out.collect()] == [(1, 7, 1, 20, 16, 16)]
+    found, marked = plans[-2:]
+    assert found.count("split(") == 1 and marked.count("split(") == 1
+    assert marked.index("split(") < marked.index("Join")  # the words are those of joined rows
+    last = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in last and "aggregate(transform(" not in last
+
+
+def test_lower_case_of_odd_texts(spark):
+    """The faster way to lower case gives what the plain one does."""
+    texts = [None, "", "ABC xyz [@`{]", "ÉA İI ΣA AΣ KK", "Z\x00\x7f\t\x0bQ", "\U0001f600 A", "É", "Á"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", d._lower(F.col("text")).alias("x"), d.lower_ascii(F.col("text")).alias("y"))
+    assert [r.x for r in df.collect()] == [r.y for r in df.collect()] == [t and "".join(c.lower() if c < "\x80" else c for c in t) for t in texts]

@@ -17,25 +17,27 @@ def size_value(size: Column, in_stock: Column, scale: float = 0.1, free: int = 1
 
 def cheapest_rules(rules: DataFrame, solved: DataFrame, stock: DataFrame) -> DataFrame:
     """(product, rule_id): the cheapest rule with solved children only of each molecule that is not in stock."""
-    flagged = edges(rules).join(solved.select(F.col("k").alias("child"), F.lit(1).alias("hit")), "child", "left")
+    flagged = edges(rules).join(solved.select(F.col("k").alias("child"), F.lit(1).alias("hit")).hint("merge"), "child", "left")
     ok = flagged.groupBy("rule_id", "product").agg(F.min(F.coalesce("hit", F.lit(0))).alias("ok"), F.max("score").alias("score")).where("ok = 1")
-    ok = ok.join(stock.select(F.col("k").alias("product")), "product", "left_anti")
+    ok = ok.join(stock.select(F.col("k").alias("product")).hint("merge"), "product", "left_anti")
     return ok.groupBy("product").agg(F.max_by("rule_id", F.struct("score", (-F.col("rule_id")).alias("n"))).alias("rule_id"))
 
 
 def walk(best: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, k, rule_id): all steps of each target's route, level by level; a molecule once per target."""
     best = cut(best)
-    step = cut(edges(rules).join(best.select("rule_id"), "rule_id", "left_semi").select(F.col("product").alias("k"), "child").distinct())
-    front = cut(targets.select("target", F.col("target").alias("k")).join(best.withColumnRenamed("product", "k"), "k").select("target", "k", "rule_id"))
-    out = front
+    made = best.withColumnRenamed("product", "k").hint("merge")
+    step = cut(edges(rules).join(best.select("rule_id").hint("merge"), "rule_id", "left_semi").select(F.col("product").alias("k"), "child").distinct())
+    # only children that have a step of their own
+    step = cut(step.join(best.select(F.col("product").alias("child")).hint("merge"), "child", "left_semi")).hint("merge")
+    front = out = cut(targets.select("target", F.col("target").alias("k")).join(made, "k").select("target", "k"))
     while True:
-        new = front.select("target", "k").join(step, "k").select("target", F.col("child").alias("k")).distinct().join(best.withColumnRenamed("product", "k"), "k").select("target", "k", "rule_id")
-        front = cut(new.join(out.select("target", "k"), ["target", "k"], "left_anti"))
+        new = front.join(step, "k").select("target", F.col("child").alias("k")).distinct()
+        front = cut(new.join(out.hint("merge"), ["target", "k"], "left_anti"))
         if front.limit(1).count() == 0:
             break
         out = out.unionByName(front)
-    return out
+    return out.join(made, "k").select("target", "k", "rule_id")
 
 
 def metrics(leaves: DataFrame, by: str, step: str) -> DataFrame:

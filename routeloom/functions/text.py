@@ -18,7 +18,7 @@ def components(text: Column) -> Column:
 
 def longest(parts: Column) -> Column:
     """The longest text of an array, the first of equal ones; null for an empty array."""
-    return F.get(F.filter(parts, lambda x: F.length(x) == F.array_max(F.transform(parts, F.length))), 0)
+    return F.array_max(F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
 
 
 def sorted_join(parts: Column) -> Column:

@@ -62,7 +62,8 @@ def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
     ties = d.groupBy("ad").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.pow("c", 3) - F.col("c")), F.lit(0.0)).alias("ties"))
     sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
     n = F.col("n")
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    wide = n.cast("decimal(12,0)")  # the product passes a long's range from 1.7 million pairs on
+    var = (wide * (wide + 1) * (2 * wide + 1)).cast("double") / 24 - F.col("ties") / 48
     out = sums.crossJoin(ties).select("n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("w"), F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
     return out.withColumn("p", 2 * normal_tail(F.abs("z"))).withColumn("p_greater", normal_tail(F.col("z")))
 
